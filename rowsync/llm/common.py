@@ -62,16 +62,27 @@ def skew_lookup(left: DataFrame, right: DataFrame, on: list[str], count: str, to
     ``total`` rows, at most HEAVY_SHARE of them, are looked up by broadcast; the others by shuffle, and rows already
     answered are dealt out by ``spread`` there.
     """
-    heavy = right.where(F.col(count) * HEAVY_SHARE >= F.lit(total)).select(*[F.col(k).alias(f"__h_{k}") for k in on], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__h_hit"))
-    light = right.where(F.col(count) * HEAVY_SHARE < F.lit(total)).select(*[F.col(k).alias(f"__l_{k}") for k in on], *[F.col(v).alias(f"__l_{v}") for v in values], F.lit(True).alias("__l_hit"))
+    heavy = right.where(F.col(count) * HEAVY_SHARE >= F.lit(total)).select(*[F.col(k).alias(f"__h_{k}") for k in on], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__heavy"))
+    light = right.where(F.col(count) * HEAVY_SHARE < F.lit(total)).select(*[F.col(k).alias(f"__l_{k}") for k in on], *[F.col(v).alias(f"__l_{v}") for v in values], F.lit(True).alias("__light"))
     cond = [F.col(k) == F.col(f"__h_{k}") for k in on]
-    j = left.join(F.broadcast(heavy), cond, "left").withColumn("__k", F.when(F.col("__h_hit"), F.xxhash64(F.lit(11), spread)).otherwise(F.col(on[0])))
+    j = left.join(F.broadcast(heavy), cond, "left").withColumn("__k", F.when(F.col("__heavy"), F.xxhash64(F.lit(11), spread)).otherwise(F.col(on[0])))
     cond = [F.col("__k") == F.col(f"__l_{on[0]}")] + [F.col(k) == F.col(f"__l_{k}") for k in on[1:]]
     j = j.join(light, cond, "left")
-    out = [F.when(F.col("__h_hit"), F.col(f"__h_{v}")).otherwise(F.col(f"__l_{v}")).alias(v) for v in values]
-    return j.select(*left.columns, *out, F.coalesce("__h_hit", "__l_hit", F.lit(False)).alias("__found"))
+    out = [F.when(F.col("__heavy"), F.col(f"__h_{v}")).otherwise(F.col(f"__l_{v}")).alias(v) for v in values]
+    return j.select(*left.columns, *out, F.coalesce("__heavy", "__light", F.lit(False)).alias("__found"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of two longs that may be sent to all executors: 16 MB or so.
+SENDABLE = 500_000
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not in ``gone(id)``. Few ids are broadcast, more are joined by shuffle; null ids stay."""
+    gone = stored(gone.where(F.col("id").isNotNull()).select(F.col("id").alias("__gone")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= SENDABLE else gone
+    return df.join(side, F.col(id_col) == F.col("__gone"), "left_anti")
