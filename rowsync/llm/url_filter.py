@@ -50,10 +50,10 @@ def reputation(counts: DataFrame, strength: float = STRENGTH, z: float = BOUND_Z
     h = counts.withColumn("domain", domain).withColumn("suffix", suffix)
     d = h.groupBy("suffix", "domain").agg(F.sum("labelled").alias("d_n"), F.sum("bad").alias("d_bad"))
     s = d.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad"))
-    overall = s.agg(F.sum("s_n").alias("a_n"), F.sum("s_bad").alias("a_bad"))
+    bad, n = s.agg(F.sum("s_bad"), F.sum("s_n")).first()  # one row
+    p_a = F.lit(((bad or 0) + 1.0) / ((n or 0) + 2.0))
     rate = lambda bad, n, prior: (F.col(bad) + F.lit(strength) * prior) / (F.col(n) + F.lit(strength))
-    s = s.join(F.broadcast(overall)).withColumn("p_a", (F.coalesce("a_bad", F.lit(0)) + 1.0) / (F.coalesce("a_n", F.lit(0)) + 2.0))
-    s = s.select(F.col("suffix").alias("s_key"), rate("s_bad", "s_n", F.col("p_a")).alias("p_s"))
+    s = s.select(F.col("suffix").alias("s_key"), rate("s_bad", "s_n", p_a).alias("p_s"))
     d = d.join(s, F.col("suffix") == F.col("s_key")).select(F.col("suffix").alias("d_suffix"), F.col("domain").alias("d_key"), rate("d_bad", "d_n", F.col("p_s")).alias("p_d"))
     a = F.col("bad") + F.lit(strength) * F.col("p_d")
     t = F.col("labelled") + F.lit(strength)
