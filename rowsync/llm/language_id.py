@@ -26,7 +26,7 @@ OWN_SHARE = 0.005
 #: Bigrams that a text's evidence is worth at most; neighbouring bigrams aren't independent.
 WORTH = 200
 #: Log probability of a byte under "und", and its prior.
-UND_BYTE, UND_PRIOR = math.log(1 / 48), 0.01
+UND_BYTE, UND_PRIOR = math.log(1 / 128), 0.01
 #: Pseudo-rows that a prior is worth to the level below, and counts added to each cell of the evidence tables.
 STRENGTH, ADDED = 20.0, 1.0
 UND = "und"

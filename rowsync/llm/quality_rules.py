@@ -23,7 +23,7 @@ ORDER, SYMBOLS = 3, 64
 #: A language needs this share of all documents for a model and bands of its own; the others share those of "*".
 OWN_SHARE = 0.01
 #: Documents outside these many robust deviations from their language's median log perplexity are rejected.
-BAND_LOW, BAND_HIGH = 20.0, 20.0
+BAND_LOW, BAND_HIGH = 30.0, 30.0
 #: Fewer symbols than this give no verdict by perplexity.
 LEAST_SYMBOLS = 200
 SYMBOL_SET = b"#*$%&|<>"
