@@ -8,6 +8,8 @@ hexadecimal; two fingerprints' likeness estimates the Jaccard similarity of the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from .common import let, table, text_or_empty
 
 K, S, TOKEN_CHARS, SKETCH = 5, 2, 24, 128
 TOKEN = rf"\p{{IsHan}}|[^\s\p{{IsHan}}]{{1,{TOKEN_CHARS}}}"
-#: Range buckets: a root of them is compared first, then a root of them inside.
-ROOT = 32
+#: Range buckets: one for so many rows, but within these limits, so that what the driver holds of them is bounded.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 1 << 10, 1 << 16
 
 
 def syncmers(text: Column) -> Column:
@@ -57,27 +59,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A constant array<bigint>, made of one string so that a long one stays a small expression; folded before it runs."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
+
+
 def _bucket(bounds: list[int], c: Column) -> Column:
     """The number of ascending ``bounds`` at or below ``c``; 0 for null. Two short searches in place of a long one."""
-    groups = [bounds[k : k + ROOT] for k in range(0, len(bounds), ROOT)]
-    if not groups:
+    if not bounds:
         return F.lit(0)
+    root = math.isqrt(len(bounds) - 1) + 1
     at = lambda xs: F.size(F.filter(xs, lambda b: b <= c))
-    top = F.array(*[F.lit(g[0]) for g in groups])
-    parts = F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    group = F.greatest(at(top) - 1, F.lit(0))
-    return F.coalesce(group * ROOT + at(F.get(parts, group)), F.lit(0))
+    group = F.greatest(at(_longs(bounds[::root])) - 1, F.lit(0))
+    return F.coalesce(group * root + at(F.slice(_longs(bounds), group * root + 1, F.lit(root))), F.lit(0))
 
 
-def with_next(df: DataFrame, id_col: str, cols: dict[str, Column], buckets: int = ROOT * ROOT) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, cols: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """Each row's id and ``cols``, and as ``next_<name>`` those of the row with the next id; of the first for the last.
 
     Null ids come first; rows with equal ids are ordered by the hash of their values. One shuffle: rows are dealt out by
     ranges of ids, and the first row of each range is also sent to the range before it.
     """
     ids = df.select(F.col(id_col).alias("id"))
-    share = [k / buckets for k in range(1, buckets)]
-    found = ids.agg(F.percentile_approx("id", share, 100 * buckets)).first()[0] or []
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, ids.count() // BUCKET_ROWS))
+    share = F.split(F.lit(",".join(str(k / buckets) for k in range(1, buckets))), ",").cast("array<double>")
+    found = (ids.agg(F.percentile_approx("id", share, 20 * buckets)).first()[0] or []) if buckets > 1 else []
     bounds = sorted(set(found))
     bucket = _bucket(bounds, F.col("id"))
     firsts = {r["b"]: r["first"] for r in ids.groupBy(bucket.alias("b")).agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("first")).collect()}  # one row for each bucket
@@ -85,8 +91,8 @@ def with_next(df: DataFrame, id_col: str, cols: dict[str, Column], buckets: int
     if not used:
         used, firsts = [0], {0: 0}
     before = {b: used[k - 1] for k, b in enumerate(used)}
-    first = F.get(F.array(*[F.lit(firsts.get(b)).cast("long") for b in range(used[-1] + 1)]), F.col("bucket"))
-    prev = F.get(F.array(*[F.lit(before.get(b)).cast("int") for b in range(used[-1] + 1)]), F.col("bucket"))
+    first = F.get(_longs([firsts.get(b) for b in range(used[-1] + 1)]), F.col("bucket"))
+    prev = F.get(_longs([before.get(b) for b in range(used[-1] + 1)]), F.col("bucket")).cast("int")
     rows = df.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in cols.items()]).withColumn("bucket", bucket.cast("int"))
     own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost"))
     ghost = F.struct(prev.alias("b"), F.lit(1).alias("ghost"))

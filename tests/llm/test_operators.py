@@ -46,6 +46,16 @@ def test_fingerprints(spark, docs, none):
     assert len({r["fingerprint"] for r in out if r["doc_id"] == 6}) == 1
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 40, 5000])
+def test_next_row_for_any_number_of_buckets(spark, buckets):
+    ids = random.Random(3).sample(range(-1000, 100_000), 500)
+    df = spark.createDataFrame([(i,) for i in ids], "i long")
+    ordered = sorted(ids)
+    wanted = dict(zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    got = fingerprints.with_next(df, "i", {"x": df["i"].alias("x")}, buckets).collect()
+    assert len(got) == len(ids) and all(wanted[r["id"]] == r["next_x"] for r in got)
+
+
 def test_syncmers_ignore_context(spark):
     rng = random.Random(1)
     words = [str(rng.randrange(10**6)) for _ in range(60)]
