@@ -17,10 +17,16 @@ HEAVY_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only if unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rowsync.shared.dir", None)
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder on one machine, and the warehouse, which is shared, on a cluster.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rowsync.shared.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rowsync-')}"
+        if spark.sparkContext.master.startswith("local"):
+            found = f"file://{tempfile.mkdtemp(prefix='rowsync-')}"
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("rowsync.shared.dir", found)
     return found.rstrip("/")
 

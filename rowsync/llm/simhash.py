@@ -133,7 +133,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(id, fp, component_id, n_links): one row per input row.
+    """(id, fp, component_id): one row per input row.
 
     ``component_id`` is the least id reachable over fingerprints within ``radius`` bits, the row's own included (null
     ids are passed over; a group with null ids only has null). Null and empty texts have fingerprint zero and link like
