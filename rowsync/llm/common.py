@@ -56,6 +56,18 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+#: Bytes of rows that go to Python at once, where the session doesn't say. Spark's own default is by rows alone, however long.
+BATCH_BYTES = 6 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for Python stages: this package on the executors, batches of bounded size."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def row_keys(*cols: Column) -> tuple[Column, Column]:
     """128 bits that name a row by its values; rows with equal values share them."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
@@ -79,7 +91,7 @@ def skew_lookup(left: DataFrame, right: DataFrame, on: list[str], count: str, to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

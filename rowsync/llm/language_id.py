@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import ship
-from .common import skew_lookup, stored, table, text_or_empty, without
+from .common import prepare, skew_lookup, stored, table, text_or_empty, without
 from .words import flat_bytes, slices
 
 #: A language, a declared value or a suffix counts on its own with this share of all rows, so there are at most 200.
@@ -93,7 +92,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     the likeliest class. Null or empty text rests on the other evidence alone; with none it is "und". Missing evidence
     says nothing. Ties go to the language first in the alphabet. Repeated rows stay. An empty table gives an empty one.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     spark, none = df.sparkSession, F.lit(None).cast("string")
     declared, train = none if declared is None else F.lower(declared), F.lower(declared if train is None else train)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), declared.alias("declared"), (none if host is None else F.lower(host)).alias("host"), (none if suffix is None else F.lower(suffix)).alias("suffix"), train.alias("train"))

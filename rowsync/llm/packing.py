@@ -18,8 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import ship
-from .common import table, text_or_empty
+from .common import prepare, table, text_or_empty
 from .words import flat_bytes, slices
 
 DIMS, BITS, BUCKETS, CAPACITY, END = 4, 8, 256, 2048, 1
@@ -173,7 +172,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     repeated rows and ids are packed as they come; a null id stays null. An empty table gives no pieces. ``capacity``
     must be a power of two. Sequence ids are unique, not dense.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

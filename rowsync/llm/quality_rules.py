@@ -15,8 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import ship
-from .common import stored, table, text_or_empty
+from .common import prepare, stored, table, text_or_empty
 from .words import flat_bytes, slices, spread, words
 
 ORDER, SYMBOLS = 3, 64
@@ -182,7 +181,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty one.
     """
     spark = df.sparkSession
-    ship(spark)
+    prepare(spark)
     docs = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("*")).alias("lang"))
     sizes = docs.groupBy("lang").count()
     total = docs.count()

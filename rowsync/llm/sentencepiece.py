@@ -18,8 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import ship
-from .common import table, text_or_empty
+from .common import prepare, table, text_or_empty
 from .words import gather, slices, spread
 
 MARK = "▁"
@@ -229,7 +228,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """
     from .packing import tokenizer_path
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     path = model or tokenizer_path("piece_bpe_32k.model")
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, {FIELDS}" + ", ids array<int>" * with_ids

@@ -16,8 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import ship
-from .common import skew_lookup, stored, table, text_or_empty
+from .common import prepare, skew_lookup, stored, table, text_or_empty
 from .components import components
 
 SEED, TILE = 42, 512
@@ -48,7 +47,7 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 def with_fingerprint(df: DataFrame, text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``row`` (the input row) and ``fp``, its fingerprint as a long."""
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
