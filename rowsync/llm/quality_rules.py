@@ -1,8 +1,9 @@
 """Quality rules: text counts, and perplexity bands of a character n-gram model with modified Kneser-Ney smoothing.
 
-Words are folded to symbols (SYMBOLS classes) between boundary marks and n-grams run inside words, so the model has at
-most SYMBOLS ** ORDER n-grams a language: 2 ** 18 or 14 MB of sorted keys and values, which is the proven bound for
-sending it to the executors. Counts come from all words of all documents and are summed by Spark.
+N-grams are ORDER bytes (letters lower-cased, digits folded) inside words, between boundary marks. All n-grams of all
+words of all documents are counted and smoothed by Spark, so the model is a table that grows with the corpus. Keys that
+hold at least one in HEAVY of all n-grams, which are at most HEAVY, are sent to the executors as sorted arrays. A
+document's other n-grams are looked up by a join; no such key has more than its small share of rows.
 """
 
 from __future__ import annotations
@@ -11,14 +12,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import prepare, stored, table, text_or_empty
-from .words import flat_bytes, slices, spread, words
-
-ORDER, SYMBOLS = 3, 64
+from .words import flat_bytes, gather, slices, words
+
+ORDER = 5
+#: Marks the edges of words; no byte of UTF-8.
+EDGE = 255
+#: The language's number stands above the bits of an n-gram.
+LANG_SHIFT = 8 * ORDER
+#: At most so many n-grams are sent to the executors: 12 bytes each.
+HEAVY = 1 << 20
+#: Minus log probabilities are whole multiples of 1 / UNIT, so sums don't depend on their order.
+UNIT = 1 << 20
 #: A language needs this share of all documents for a model and bands of its own; the others share those of "*".
 OWN_SHARE = 0.01
 #: Documents outside these many robust deviations from their language's median log perplexity are rejected.
@@ -29,100 +39,121 @@ SYMBOL_SET = b"#*$%&|<>"
 
 
 def fold(data: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes to symbols 1 to 63: letters to 1 to 26 whatever their case, digits to 27, other bytes spread over the rest."""
-    to = 28 + np.arange(256) % 36
-    to[ord("0") : ord("9") + 1] = 27
-    to[ord("a") : ord("z") + 1] = to[ord("A") : ord("Z") + 1] = np.arange(1, 27)
+    """Bytes with A-Z lower-cased and all digits as one."""
+    to = np.arange(256)
+    to[ord("0") : ord("9") + 1] = ord("0")
+    to[ord("A") : ord("Z") + 1] += 32
     return to.astype(np.int64)[data]
 
 
 def grams(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of words (a boundary mark, 0, twice before and once after each), and each code's word."""
+    """N-grams of the words (ORDER - 1 marks before and one after each), in order, and each word's number of them."""
     data, offsets = flat_bytes(values.cast(pa.large_string()))
     n, lengths = len(offsets) - 1, np.diff(offsets)
-    s = np.zeros(len(data) + 3 * n, np.int64)
-    word = np.repeat(np.arange(n), lengths + 3)
-    s[np.arange(len(data)) + 3 * np.repeat(np.arange(n), lengths) + 2] = fold(data)
-    codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if len(s) > 2 else np.zeros(0, np.int64)
-    inside = word[:-2] == word[2:] if len(s) > 2 else np.zeros(0, bool)
-    return codes[inside], word[:-2][inside] if len(s) > 2 else np.zeros(0, np.int64)
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney over trigram codes, as sorted code arrays with log probabilities."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order].astype(float)
-        self.codes = codes
-        base = 1.0 / SYMBOLS
-        two, three = codes % SYMBOLS**2, codes
-        pair, at = np.unique(two, return_inverse=True)
-        seen = np.bincount(at, minlength=len(pair)).astype(float)  # left contexts of each bigram
-        last, last_at = np.unique(pair % SYMBOLS, return_inverse=True)
-        p1 = self._level(np.bincount(last_at, minlength=len(last)).astype(float), np.zeros(len(last), np.int64), np.full(len(last), base))
-        self.last, self.p1 = last, p1[0]
-        self.floor1 = p1[1][0] * base if len(last) else base
-        p2, back2 = self._level(seen, pair // SYMBOLS, p1[0][last_at])
-        self.pair, self.p2, (self.c2, i2) = pair, p2, np.unique(pair // SYMBOLS, return_index=True)
-        self.back2 = back2[i2] if len(pair) else back2
-        p3, back3 = self._level(counts, three // SYMBOLS, p2[at] if len(codes) else np.zeros(0))
-        self.p3, (self.c3, i3) = p3, np.unique(three // SYMBOLS, return_index=True)
-        self.back3 = back3[i3] if len(codes) else back3
-
-    @staticmethod
-    def _level(counts: np.ndarray, context: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of entries, and the weight of the lower level in each entry's context."""
-        if not len(counts):
-            return counts, counts
-        n1, n2, n3, n4 = (float((counts == k).sum()) or 1.0 for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.9, 2.9])
-        cut = np.minimum(d[np.minimum(counts, 3).astype(int) - 1], counts * 0.95)
-        _, at = np.unique(context, return_inverse=True)
-        total, mass = np.bincount(at, weights=counts), np.bincount(at, weights=cut)
-        back = (mass / total)[at]
-        return (counts - cut) / total[at] + back * lower, back
-
-    def logp(self, codes: np.ndarray) -> np.ndarray:
-        def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other) -> tuple[np.ndarray, np.ndarray]:
-            if not len(keys):
-                return np.broadcast_to(np.asarray(other, float), wanted.shape).copy(), np.zeros(wanted.shape, bool)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            return np.where(hit, values[at], other), hit
-
-        distinct, back_to = np.unique(codes, return_inverse=True)
-        two, one = distinct % SYMBOLS**2, distinct % SYMBOLS
-        p1, _ = find(self.last, self.p1, one, self.floor1)
-        b2, _ = find(self.c2, self.back2, two // SYMBOLS, 1.0)
-        p2, _ = find(self.pair, self.p2, two, b2 * p1)
-        b3, _ = find(self.c3, self.back3, distinct // SYMBOLS, 1.0)
-        p3, _ = find(self.codes, self.p3, distinct, b3 * p2)
-        return np.log(p3)[back_to]
+    s = np.full(len(data) + ORDER * n, EDGE, np.int64)
+    s[np.arange(len(data)) + np.repeat(np.arange(n), lengths) * ORDER + ORDER - 1] = fold(data)
+    codes = np.zeros(max(0, len(s) - ORDER + 1), np.int64)
+    for k in range(ORDER):
+        codes = codes << 8 | s[k : k + len(codes)]
+    starts = offsets[:-1] + ORDER * np.arange(n)
+    return codes[gather(starts, lengths + 1)], lengths + 1
+
+
+class Slice:
+    """The n-grams of some documents: words of a language are units, each a run of positions in the distinct keys."""
+
+    def __init__(self, texts: pa.Array, lang: np.ndarray):
+        self.n = len(texts)
+        self.doc, code, values = words(texts)
+        n_word = max(1, len(values))
+        units, self.unit = np.unique(lang[self.doc] * n_word + code, return_inverse=True)
+        codes, lengths = grams(values)
+        starts = np.cumsum(lengths) - lengths
+        self.lengths = lengths[units % n_word] if len(values) else np.zeros(0, np.int64)
+        self.gram_unit = np.repeat(np.arange(len(units)), self.lengths)
+        own = codes[gather(starts[units % n_word], self.lengths)] if len(values) else np.zeros(0, np.int64)
+        self.keys, self.at = np.unique((units // n_word)[self.gram_unit] << LANG_SHIFT | own, return_inverse=True)
+
+    def per_doc(self, of_units: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=of_units[self.unit], minlength=self.n).astype(np.int64)
+
+    def counts(self) -> np.ndarray:
+        each = np.bincount(self.unit, minlength=len(self.lengths))
+        return np.bincount(self.at, weights=each[self.gram_unit], minlength=len(self.keys)).astype(np.int64)
+
+    def cost(self, known: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """For each document the summed costs of its known keys, and its other keys with their numbers."""
+        place = np.minimum(np.searchsorted(known, self.keys), max(0, len(known) - 1))
+        hit = known[place] == self.keys if len(known) else np.zeros(len(self.keys), bool)
+        each = np.where(hit, costs[place], 0) if len(known) else np.zeros(len(self.keys), np.int64)
+        total = self.per_doc(np.bincount(self.gram_unit, weights=each[self.at], minlength=len(self.lengths)))
+        missed = np.nonzero(~hit[self.at])[0]
+        n_missed = np.bincount(self.gram_unit[missed], minlength=len(self.lengths))
+        first = np.cumsum(n_missed) - n_missed
+        of_token = n_missed[self.unit]
+        doc, at = np.repeat(self.doc, of_token), self.at[missed[gather(first[self.unit], of_token)]]
+        rest, n = np.unique(doc * max(1, len(self.keys)) + at, return_counts=True)
+        ends = np.searchsorted(rest // max(1, len(self.keys)), np.arange(self.n + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(self.keys[rest % max(1, len(self.keys))]), pa.array(n.astype(np.int64))], ["key", "n"])
+        return total, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all words of all documents; summed in each slice of a task, then by Spark."""
+    """(key, n) over all words of all documents; summed in each slice of a task, then by Spark. Language 0 is all together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, "text"):
-                langs = s["lang"].dictionary_encode()
-                lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                doc, code, values = words(s["text"])
-                n_lang, n_word = len(langs.dictionary), max(1, len(values))
-                weight = np.bincount(lang_of[doc] * n_word + code, minlength=n_lang * n_word).reshape(n_lang, n_word)
-                codes, word = grams(values)
-                for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    sums = np.bincount(codes, weights=weight[k][word], minlength=SYMBOLS**ORDER) if len(codes) else np.zeros(1)
-                    has = np.nonzero(sums)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(has), pa.string()), pa.array(has, pa.int64()), pa.array(sums[has].astype(np.int64))], ["lang", "code", "n"])
+                g = Slice(s["text"], s["lang"].to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(g.keys), pa.array(g.counts())], ["key", "n"])
+
+    own = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    own = stored(own, "ngrams")
+    return stored(own.withColumn("key", F.col("key").bitwiseAND((1 << LANG_SHIFT) - 1)).groupBy("key").agg(F.sum("n").alias("n")).unionByName(own.where(F.col("key") >= 1 << LANG_SHIFT)), "counted")
+
+
+def _suffix(order: int) -> Column:
+    """The key of the last ``order`` bytes of the n-gram, in its language."""
+    keep = (1 << 8 * order) - 1
+    return F.shiftleft(F.shiftright("key", LANG_SHIFT), LANG_SHIFT).bitwiseOR(F.col("key").bitwiseAND(keep))
 
-    return docs.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """(key, n, cost) of ``counted(key, n)``: minus log probability by interpolated modified Kneser-Ney, in UNITs.
 
-def _measure(s: pa.RecordBatch, models: dict[str, KneserNey]) -> dict[str, np.ndarray]:
+    Lower orders count the different bytes before an n-gram, or occurrences where it begins a word. A context has at most
+    256 n-grams and an n-gram is the suffix of at most 256, so no key of these shuffles is large.
+    """
+    levels = {ORDER: counted.select("key", F.col("n").alias("raw"), F.col("n").alias("c"))}
+    for k in range(ORDER - 1, 0, -1):
+        starts = F.shiftright("key", 8 * (k - 1)).bitwiseAND(255) == EDGE
+        up = levels[k + 1].groupBy(_suffix(k).alias("key")).agg(F.sum("raw").alias("raw"), F.count("*").alias("seen"))
+        levels[k] = stored(up.select("key", "raw", (F.when(starts, F.col("raw")).otherwise(F.col("seen")) if k > 1 else F.col("seen")).alias("c")), f"order{k}")
+    lower = None
+    for k in range(1, ORDER + 1):
+        lang = F.shiftright("key", LANG_SHIFT)
+        n1, n2, n3, n4 = (F.greatest(F.lit(1.0), F.sum(F.when(F.col("c") == i, 1.0).otherwise(0.0))) for i in (1, 2, 3, 4))
+        met = levels[k].groupBy(lang.alias("__lang")).agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))  # a row for each language
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        d = [(1 - 2 * y * F.col("n2") / F.col("n1"), 0.95), (2 - 3 * y * F.col("n3") / F.col("n2"), 1.9), (3 - 4 * y * F.col("n4") / F.col("n3"), 2.9)]
+        met = met.select("__lang", *[F.greatest(F.lit(0.05), F.least(F.lit(top), v)).alias(f"d{i}") for i, (v, top) in enumerate(d, 1)])
+        cut = F.least(F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")), F.col("c") * 0.95)
+        e = levels[k].join(F.broadcast(met), lang == F.col("__lang")).select("key", "raw", "c", cut.alias("cut"))
+        context = Window.partitionBy(F.shiftright("key", 8) if k > 1 else lang)
+        total = F.sum("c").over(context)
+        e = e.select("key", "raw", ((F.col("c") - F.col("cut")) / total).alias("own"), (F.sum("cut").over(context) / total).alias("back"))
+        if lower is None:
+            e = e.withColumn("below", F.lit(1.0 / 256))
+        else:
+            e = e.withColumn("__low", _suffix(k - 1)).join(lower, "__low")
+        p = F.col("own") + F.col("back") * F.col("below")
+        lower = e.select(F.col("key").alias("__low"), p.alias("below"))
+        if k == ORDER:
+            return e.select("key", F.col("raw").alias("n"), F.round(-F.log(p) * UNIT).cast("long").alias("cost"))
+    raise AssertionError
+
+
+def _measure(s: pa.RecordBatch, known: np.ndarray, costs: np.ndarray) -> dict:
     texts, n = s["text"], len(s)
     data, offsets = flat_bytes(texts)
     doc_of = np.repeat(np.arange(n), np.diff(offsets))
@@ -156,20 +187,21 @@ def _measure(s: pa.RecordBatch, models: dict[str, KneserNey]) -> dict[str, np.nd
             covered[at[twice] + k] = True
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=n)
     out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
-    loss, seen = np.zeros(n), np.zeros(n)
-    codes, word = grams(values)
-    length = np.bincount(word, minlength=len(values))
-    langs = s["model"].to_pylist()
-    for lang in set(langs) & set(models):
-        own = np.array([x == lang for x in langs])[doc]
-        each = np.bincount(word, weights=-models[lang].logp(codes), minlength=len(values)) if len(codes) else np.zeros(len(values))
-        loss += np.bincount(doc[own], weights=each[code[own]], minlength=n)
-        seen += np.bincount(doc[own], weights=length[code[own]], minlength=n)
-    out["n_grams"], out["log_ppl"] = seen.astype(np.int64), loss / np.maximum(1, seen)
+    g = Slice(texts, s["lang"].to_numpy(zero_copy_only=False).astype(np.int64))
+    out["n_grams"] = g.per_doc(g.lengths)
+    out["cost"], out["other"] = g.cost(known, costs)
     return out
 
 
-FIELDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "n_grams": "long", "log_ppl": "double"}
+FIELDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "n_grams": "long", "cost": "long", "other": "array<struct<key: long, n: long>>"}
+
+
+def _broadcast(spark: SparkSession, known: DataFrame):
+    """Sorted keys and their costs, sent to the executors."""
+    got = known.toArrow()
+    keys, costs = (got[c].to_numpy() for c in ("key", "cost"))
+    order = np.argsort(keys)
+    return spark.sparkContext.broadcast((keys[order], costs[order].astype(np.int32)))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -186,21 +218,29 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = docs.groupBy("lang").count()
     total = docs.count()
     own = sorted(r["lang"] for r in sizes.where(F.col("count") >= OWN_SHARE * total).collect() if r["lang"] != "*")  # 100 at most
-    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("*"))) if own else docs.withColumn("model", F.lit("*"))
-    counted = stored(_counted(docs.select("text", F.col("model").alias("lang"))), "ngrams").toPandas()  # at most 101 * SYMBOLS ** ORDER rows
-    models = {k: KneserNey(g["code"].to_numpy(), g["n"].to_numpy()) for k, g in counted.groupby("lang")}
-    pooled = counted.groupby("code")["n"].sum()
-    models["*"] = KneserNey(pooled.index.to_numpy(), pooled.to_numpy())
-    sent = spark.sparkContext.broadcast(models)
+    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("*")) if own else F.lit("*"))
+    docs = docs.withColumn("lang", F.coalesce(F.array_position(F.array(*map(F.lit, own)), F.col("model")), F.lit(0)).cast("long") if own else F.lit(0).cast("long"))
+    model = stored(kneser_ney(_counted(docs.select("text", "lang"))), "model")
+    n_all = model.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY >= F.lit(n_all)
+    sent = _broadcast(spark, model.where(heavy).select("key", "cost"))  # at most HEAVY rows, whatever the corpus
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for s in slices(b, "text"):
-                got = _measure(s, sent.value)
-                yield pa.RecordBatch.from_arrays([s["doc_id"], s["model"], *[pa.array(got[k]) for k in FIELDS]], ["doc_id", "model", *FIELDS])
+                got = _measure(s, *sent.value)
+                rows = pa.array(np.arange(row, row + len(s)))
+                row += len(s)
+                yield pa.RecordBatch.from_arrays([rows, s["doc_id"], s["model"], *[got[k] if isinstance(got[k], pa.Array) else pa.array(got[k]) for k in FIELDS]], ["row", "doc_id", "model", *FIELDS])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    measured = stored(docs.select("doc_id", "model", "text").mapInArrow(measure, f"doc_id {id_type}, model string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())), "measured")
+    measured = stored(docs.mapInArrow(measure, f"row long, doc_id {id_type}, model string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())), "measured")
+    other = measured.select("row", F.explode("other").alias("o")).select("row", "o.key", "o.n")
+    more = other.join(model.where(~heavy).select("key", F.col("cost").alias("each")), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more"))
+    measured = measured.drop("other").join(more, "row", "left")
+    log_ppl = (F.col("cost") + F.coalesce("more", F.lit(0))) / F.greatest("n_grams", F.lit(1)) / UNIT
+    measured = stored(measured.withColumn("log_ppl", log_ppl).drop("row", "cost", "more"), "scored")
     sound = measured.where(~F.col("base_failed") & (F.col("n_grams") >= LEAST_SYMBOLS))
     middle = sound.groupBy("model").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"))
     far = sound.join(F.broadcast(middle), "model").groupBy("model").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 1000).alias("mad"))

@@ -240,12 +240,68 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.quality_rules(docs).count() == len(ROWS) and quality_rules.quality_rules(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    codes = rng.integers(0, 8, (400, 3)) @ np.array([4096, 64, 1])
-    m = quality_rules.KneserNey(*np.unique(codes, return_counts=True))
-    for context in (0, 65, 7 * 64 + 3, 40 * 64 + 1):
-        assert abs(np.exp(m.logp(context * 64 + np.arange(64))).sum() - 1) < 0.15
+def brute_kneser_ney(words_of: dict) -> dict:
+    """Probability of each n-gram (language, bytes), by the textbook's recursion over a dictionary of counts."""
+    order, out = quality_rules.ORDER, {}
+    for lang, words in words_of.items():
+        counts = {order: Counter()}
+        for w in words:
+            marked = [255] * (order - 1) + list(re.sub("[0-9]", "0", w.lower()).encode()) + [255]
+            counts[order].update(tuple(marked[i : i + order]) for i in range(len(marked) - order + 1))
+        raw = dict(counts)
+        for k in range(order - 1, 0, -1):
+            raw[k], counts[k] = Counter(), Counter()
+            for g, n in raw[k + 1].items():
+                raw[k][g[1:]] += n
+                counts[k][g[1:]] += 1
+            if k > 1:
+                counts[k].update({g: raw[k][g] - counts[k][g] for g in raw[k] if g[0] == 255})
+
+        def probability(g, counts=counts):
+            k = len(g)
+            if not k:
+                return 1 / 256
+            n1, n2, n3, n4 = (max(1.0, sum(c == i for c in counts[k].values())) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            d = [max(0.05, min(top, v)) for v, top in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.9))]
+            cut = {h: min(d[min(c, 3) - 1], c * 0.95) for h, c in counts[k].items() if h[:-1] == g[:-1]}
+            total = sum(counts[k][h] for h in cut)
+            return (counts[k][g] - cut[g]) / total + sum(cut.values()) / total * probability(g[1:])
+
+        out |= {(lang, *g): (n, probability(g)) for g, n in counts[order].items()}
+    return out
+
+
+def test_kneser_ney(spark):
+    rng = random.Random(9)
+    words_of = {k: ["".join(rng.choice("abAé7") for _ in range(rng.randint(1, 7))) for _ in range(150)] for k in (1, 2)}
+    df = spark.createDataFrame([(k, " ".join(w[i::3])) for k, w in words_of.items() for i in range(3)], "lang long, text string").select("text", "lang")
+    got = {r["key"]: (r["n"], r["cost"]) for r in quality_rules.kneser_ney(quality_rules._counted(df)).collect()}
+    want = {}
+    for g, v in brute_kneser_ney(words_of | {0: words_of[1] + words_of[2]}).items():
+        key = g[0]
+        for b in g[1:]:
+            key = key << 8 | b
+        want[key] = v
+    assert set(got) == set(want) and all(got[k][0] == n and abs(got[k][1] / quality_rules.UNIT + np.log(p)) < 1e-5 for k, (n, p) in want.items())
+
+
+def test_perplexity_is_the_same_however_few_keys_are_sent(spark, docs, monkeypatch):
+    rng = random.Random(10)
+    rows = [(k, " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 60))), rng.choice(["en", "fr", None])) for k in range(60)]
+    df = spark.createDataFrame([*rows, rows[0], (None, "zq " * 90, "en")], "doc_id long, text string, lang string")
+    all_sent = sorted(map(tuple, quality_rules.quality_rules(df).collect()), key=str)
+    for heavy in (1, 64):
+        monkeypatch.setattr(quality_rules, "HEAVY", heavy)
+        assert sorted(map(tuple, quality_rules.quality_rules(df).collect()), key=str) == all_sent
+    assert len(all_sent) == 62 and any(r[-1] != all_sent[0][-1] for r in all_sent)
+
+
+def test_model_grows_with_the_corpus(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(12)), 0) for _ in range(4000)], "text string, lang long")
+    n = [quality_rules._counted(df.limit(k)).count() for k in (500, 4000)]
+    assert n[1] > 5 * n[0]
 
 
 def test_simhash(spark, docs, none):
