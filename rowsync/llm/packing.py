@@ -7,6 +7,7 @@ full sequences; what is left at its end goes to sequences whose lengths are powe
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -162,6 +163,8 @@ class Packer:
         self.capacity = full
 
 
+#: Bytes of text in a range of the curve, and most ranges: beyond them ranges grow, and are still streamed.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -198,7 +201,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             yield batch(rows)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = docs.mapInArrow(keyed, "doc_id long, text string, key long").withColumn("tie", F.xxhash64("doc_id")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)))
+    ordered = docs.mapInArrow(keyed, "doc_id long, text string, key long").withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie")
     return ordered.select("doc_id", "text").mapInArrow(packed, SCHEMA)
 
 
