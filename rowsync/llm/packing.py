@@ -163,8 +163,9 @@ class Packer:
         self.capacity = full
 
 
-#: Bytes of text in a range of the curve, and most ranges: beyond them ranges grow, and are still streamed.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+#: Mean bytes of text in a range of the curve, and most ranges: beyond them ranges grow, and are still streamed. Ranges hold
+#: about as many rows each, so one of long documents has several times the bytes.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
