@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, skew_lookup, stored, table, text_or_empty, without
+from .common import SENDABLE, prepare, skew_lookup, stored, table, text_or_empty, without
 from .words import flat_bytes, slices
 
-#: A language, a declared value or a suffix counts on its own with this share of all rows, so there are at most 200.
-OWN_SHARE = 0.005
+#: Languages whose tables are sent to the executors at once, 256 kB each; more are scored in further passes.
+TABLES = 64
 #: Bigrams that a text's evidence is worth at most; neighbouring bigrams aren't independent.
 WORTH = 200
 #: Log probability of a byte under "und", and its prior.
@@ -81,13 +81,23 @@ def _softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def _own(df: DataFrame, name: str, total: int) -> list[str]:
-    return sorted(r[name] for r in df.where(F.col(name).isNotNull()).groupBy(name).count().where(F.col("count") >= max(1, OWN_SHARE * total)).collect())
+def _totals(df: DataFrame, keys: list[str], vector: str, n: Column) -> DataFrame:
+    """(keys, n, c): the sums of ``n`` and, place by place, of the arrays ``vector``; null arrays don't count."""
+    cells = df.select(*keys, n.alias("n"), F.posexplode(vector).alias("k", "p")).groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    return cells.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("c"))
+
+
+def _doubles(values: list[float]) -> Column:
+    """A constant array<double>, made of one string so that a long one stays a small expression."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, train: Column | None = None) -> DataFrame:
     """(id, language, posterior, kept), one row for each input row.
 
+    Each language that a row is counted for is a class, however few rows it has; "und" and "" say nothing. The cost grows
+    with the number of languages.
+
     ``train`` says which language a row's text is counted for (``declared`` if not given). A row is kept if "und" isn't
     the likeliest class. Null or empty text rests on the other evidence alone; with none it is "und". Missing evidence
     says nothing. Ties go to the language first in the alphabet. Repeated rows stay. An empty table gives an empty one.
@@ -97,67 +107,82 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     declared, train = none if declared is None else F.lower(declared), F.lower(declared if train is None else train)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), declared.alias("declared"), (none if host is None else F.lower(host)).alias("host"), (none if suffix is None else F.lower(suffix)).alias("suffix"), train.alias("train"))
     total = docs.count()
-    langs = _own(docs, "train", total)
-    counted = stored(_count(docs.where(F.col("train").isin(langs)).select("text", F.col("train").alias("lang"))), "bigrams").toPandas() if langs else None  # 200 * 65536 rows at most
-    tables = np.zeros((len(langs), 65536))
-    for k, lang in enumerate(langs):
-        g = counted[counted["lang"] == lang]
-        tables[k][g["code"].to_numpy()] = g["n"].to_numpy()
-    tables = np.array([bigram_table(t) for t in tables]).reshape(len(langs), 65536)
-    sent, classes = spark.sparkContext.broadcast(tables.astype(np.float32)), [*langs, UND]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        for b in batches:
-            for s in slices(b, "text"):
-                codes, doc, n = _codes(s["text"])
-                size = np.bincount(doc, minlength=n)
-                sums = np.array([np.bincount(doc, weights=row[codes], minlength=n) for row in t] + [size * UND_BYTE]).T
-                sums *= np.minimum(1, WORTH / np.maximum(1, size))[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([s["id"], s["declared"], s["host"], s["suffix"], lists, pa.array(size, pa.int64())], ["id", "declared", "host", "suffix", "ll", "n"])
+    named = F.col("train").isNotNull() & ~F.col("train").isin("", UND)
+    langs = sorted(r["train"] for r in docs.where(named).select("train").distinct().collect())  # one row for each language
+    counted = stored(_count(docs.where(named).select("text", F.col("train").alias("lang"))), "bigrams")
+    classes = [*langs, UND]
+
+    def scorer(sent, last: bool):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = sent.value
+            for b in batches:
+                for s in slices(b, "text"):
+                    codes, doc, n = _codes(s["text"])
+                    size = np.bincount(doc, minlength=n)
+                    sums = np.array([np.bincount(doc, weights=row[codes], minlength=n) for row in t] + [size * UND_BYTE] * last).reshape(-1, n).T
+                    sums = sums * np.minimum(1, WORTH / np.maximum(1, size))[:, None]
+                    sums = np.hstack([s["ll"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1), sums])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+                    text = pa.nulls(n, pa.string()) if last else s["text"]
+                    yield pa.RecordBatch.from_arrays([s["id"], text, s["declared"], s["host"], s["suffix"], lists, pa.array(size, pa.int64())], ["id", "text", "declared", "host", "suffix", "ll", "n"])
+
+        return score
 
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select("id", "text", "declared", "host", "suffix").mapInArrow(score, f"id {id_type}, declared string, host string, suffix string, ll array<double>, n long"), "likelihoods")
-    even = F.array(*[F.lit(math.log((1 - UND_PRIOR) / max(1, len(langs))))] * len(langs), F.lit(math.log(UND_PRIOR)))
+    schema = f"id {id_type}, text string, declared string, host string, suffix string, ll array<double>, n long"
+    rows = docs.select("id", "text", "declared", "host", "suffix", F.array().cast("array<double>").alias("ll"))
+    for at in range(0, max(1, len(langs)), TABLES):
+        part, last = langs[at : at + TABLES], at + TABLES >= len(langs)
+        tables = np.zeros((len(part), 65536))
+        if part:
+            got = counted.where(F.col("lang").isin(part)).select((F.array_position(F.array(*map(F.lit, part)), F.col("lang")) - 1).cast("int").alias("at"), F.col("code").cast("int").alias("code"), "n").toArrow()  # TABLES * 65536 rows at most
+            tables[got["at"].to_numpy(), got["code"].to_numpy()] = got["n"].to_numpy()
+        sent = spark.sparkContext.broadcast(np.array([bigram_table(t) for t in tables], np.float32).reshape(len(part), 65536))
+        rows = stored(rows.drop("n").mapInArrow(scorer(sent, last), schema), "likelihoods")
+        sent.unpersist()
+    rows = rows.drop("text")
+    even = F.concat(F.array_repeat(F.lit(math.log((1 - UND_PRIOR) / max(1, len(langs)))), len(langs)), F.array(F.lit(math.log(UND_PRIOR))))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    rows = rows.withColumn("post", _softmax(add(F.col("ll"), even)))
-    sums = [F.sum(F.get("post", k)).alias(f"c{k}") for k in range(len(classes))]
-    all_of = rows.agg(*sums).first()
-    base = [float(x or 0) + 1.0 for x in all_of]
+    rows = rows.withColumn("post", _softmax(add(F.col("ll"), even))).withColumn("score", F.col("ll"))
+    all_of = _totals(rows, [], "post", F.lit(1)).first()["c"] or [0.0] * len(classes)
+    base = [x + 1.0 for x in all_of]
     base = [x / sum(base) for x in base]
-    score_ = F.col("ll")
-
-    def evidence(name: str) -> Column | None:
-        """Log P(value | class), up to a constant, as an array; rare values count as one."""
-        values = _own(rows, name, total)
-        if not values:
-            return None
-        folded = F.when(F.col(name).isin(values), F.col(name)).otherwise("*")
-        got = {r["v"]: [float(r[f"c{k}"]) for k in range(len(classes))] for r in rows.where(F.col(name).isNotNull()).groupBy(folded.alias("v")).agg(*sums).collect()}
-        of = [sum(c[k] + ADDED for c in got.values()) for k in range(len(classes))]
-        out = F.array(*[F.lit(0.0)] * len(classes))
-        for v, c in got.items():
-            out = F.when(F.col(name).isNotNull() & (folded == v), F.array(*[F.lit(math.log((c[k] + ADDED) / of[k])) for k in range(len(classes))])).otherwise(out)
-        return out
+
+    def keyed(name: str) -> list[Column]:
+        return [F.xxhash64(name).alias("k1"), F.xxhash64(F.lit(7), name).alias("k2")]
+
+    def lookup(rows: DataFrame, name: str, found: DataFrame, column: str) -> DataFrame:
+        """``found(k1, k2, n_rows, column)`` for the values of ``name``: sent if it is small."""
+        k1, k2 = keyed(name)
+        left = rows.withColumn("k1", k1).withColumn("k2", k2)
+        if found.count() * len(classes) <= SENDABLE:
+            out = left.join(F.broadcast(found.drop("n_rows")), ["k1", "k2"], "left")
+        else:
+            out = skew_lookup(left, found, ["k1", "k2"], "n_rows", max(1, total), [column], F.struct("id", "n")).drop("__found")
+        return out.drop("k1", "k2")
 
     for name, given in (("declared", declared), ("suffix", suffix)):
-        e = evidence(name) if given is not None and total else None
-        if e is not None:
-            score_ = add(score_, e)
-    prior = F.array(*[F.lit(math.log(x)) for x in base])
+        if given is None or not total:
+            continue
+        seen = stored(_totals(rows.where(F.col(name).isNotNull()), [name], "post", F.lit(1)), name)
+        n_values = seen.count()
+        if n_values:
+            # log P(value | class), up to a constant
+            of = _doubles([c + ADDED * n_values for c in _totals(seen, [], "c", F.col("n")).first()["c"]])
+            told = F.zip_with("c", of, lambda c, all_: F.log((c + ADDED) / all_))
+            rows = lookup(rows, name, stored(seen.select(*keyed(name), F.col("n").alias("n_rows"), told.alias("told")), name), "told")
+            rows = rows.withColumn("score", F.coalesce(add(F.col("score"), F.col("told")), "score")).drop("told")
+    prior = _doubles([math.log(x) for x in base])
     if host is not None and total:
-        hosts = stored(rows.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n_host"), *sums), "hosts")
+        hosts = stored(_totals(rows.where(F.col("host").isNotNull()), ["host"], "post", F.lit(1)), "hosts")
         levels = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("top", F.substring_index("host", ".", -1))
-        cs = [f"c{k}" for k in range(len(classes))]
-        top = levels.groupBy("top").agg(F.sum("n_host").alias("n"), *[F.sum(c).alias(c) for c in cs])
-        top = top.select("top", *[((F.col(c) + STRENGTH * base[k]) / (F.col("n") + STRENGTH)).alias(f"t{k}") for k, c in enumerate(cs)])
-        dom = levels.groupBy("top", "domain").agg(F.sum("n_host").alias("n"), *[F.sum(c).alias(c) for c in cs]).join(top, "top")
-        dom = dom.select("domain", *[((F.col(c) + STRENGTH * F.col(f"t{k}")) / (F.col("n") + STRENGTH)).alias(f"d{k}") for k, c in enumerate(cs)])
-        own = levels.join(dom, "domain").select(F.xxhash64("host").alias("k1"), F.xxhash64(F.lit(7), "host").alias("k2"), "n_host", F.array(*[F.log((F.col(c) + STRENGTH * F.col(f"d{k}")) / (F.col("n_host") + STRENGTH)) for k, c in enumerate(cs)]).alias("prior"))
-        rows = skew_lookup(rows.withColumn("k1", F.xxhash64("host")).withColumn("k2", F.xxhash64(F.lit(7), "host")), own, ["k1", "k2"], "n_host", max(1, total), ["prior"], F.struct("id", "n"))
+        smooth = lambda c, n, above: F.zip_with(c, above, lambda x, y: (x + STRENGTH * y) / (F.col(n) + STRENGTH))
+        top = _totals(levels, ["top"], "c", F.col("n")).select("top", smooth("c", "n", _doubles(base)).alias("of_top"))
+        dom = _totals(levels, ["top", "domain"], "c", F.col("n")).join(top, "top").select("domain", smooth("c", "n", "of_top").alias("of_domain"))
+        own = levels.join(dom, "domain").select(*keyed("host"), F.col("n").alias("n_rows"), F.transform(smooth("c", "n", "of_domain"), lambda x: F.log(x)).alias("prior"))
+        rows = lookup(rows, "host", stored(own, "priors"), "prior")
         prior = F.coalesce("prior", prior)
-    out = rows.withColumn("final", _softmax(add(score_, prior)))
+    out = rows.withColumn("final", _softmax(add(F.col("score"), prior)))
     nothing = (F.col("n") == 0) & F.col("declared").isNull() & F.col("host").isNull() & F.col("suffix").isNull()
     best = F.array_position(F.col("final"), F.array_max("final")).cast("int") - 1
     language = F.when(nothing, UND).otherwise(F.get(F.array(*map(F.lit, classes)), best))

@@ -98,6 +98,18 @@ def test_language_id(spark, docs, none):
     assert spark.range(1).select(language_id.declared_language(language_id.F.lit("<!doctype html><HTML class=x lang='De-AT'>"))).first()[0] == "de"
 
 
+def test_rare_languages_have_their_own_class(spark, monkeypatch):
+    said = {"en": "the cat and the dog with the house of that man ", "de": "der hund und die katze mit dem haus von diesem mann ", "it": "questo gatto vuole mangiare nella nostra bella cucina oggi ", "fi": "tämä kissa haluaa syödä meidän kauniissa keittiössämme tänään "}
+    rows = [(k, said[lang] * 3, lang) for k, lang in enumerate(["en", "de"] * 200 + ["it", "fi"])] + [(500, said["it"], None), (501, said["fi"], "en"), (502, None, "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["id"]: r for r in language_id.identify(df, declared=df.lang).collect()}
+    assert [got[k]["language"] for k in (0, 1, 400, 401, 500, 501, 502)] == ["en", "de", "it", "fi", "it", "fi", "it"] and all(r["kept"] for r in got.values())
+    monkeypatch.setattr(language_id, "TABLES", 1)  # a pass for each language
+    monkeypatch.setattr(language_id, "SENDABLE", 0)  # evidence by shuffle
+    again = {r["id"]: r for r in language_id.identify(df, declared=df.lang).collect()}
+    assert all(again[k]["language"] == r["language"] and abs(again[k]["posterior"] - r["posterior"]) < 1e-9 for k, r in got.items())
+
+
 def test_language_id_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = language_id.identify_pages(pages).collect()
