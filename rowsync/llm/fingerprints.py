@@ -24,7 +24,8 @@ BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 1 << 10, 1 << 16
 def syncmers(text: Column) -> Column:
     """Hashes of the closed syncmers of ``text``, 0 to 2**32 - 1, distinct, ascending: array<bigint>.
 
-    A text of fewer than K tokens has one hash, of all its tokens; without tokens there is one as well.
+    A text without any syncmer, as most of fewer than K + 2 tokens are, has one hash, of all its tokens; without tokens
+    there is one as well.
     """
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     low = lambda h: F.shiftrightunsigned(h, 32)
@@ -39,13 +40,15 @@ def syncmers(text: Column) -> Column:
                 lambda x, i: F.when(F.least(x, F.get(s, i + 3)) <= F.least(F.get(s, i + 1), F.get(s, i + 2)), low(F.xxhash64(x, F.get(s, i + 2), F.get(s, i + 3)))),
             )
 
-        return F.when(F.size(h) < K, F.array(low(F.xxhash64(h)))).otherwise(let(inner, lambda s: F.filter(closed(s), lambda x: x.isNotNull())))
+        whole = F.array(low(F.xxhash64(h)))
+        some = let(inner, lambda s: F.filter(closed(s), lambda x: x.isNotNull()))
+        return F.when(F.size(h) < K, whole).otherwise(let(some, lambda m: F.when(F.size(m) == 0, whole).otherwise(m)))
 
     return F.sort_array(F.array_distinct(let(tokens, select)))
 
 
 def sketch(text: Column) -> Column:
-    """The SKETCH least syncmers, ascending: array<bigint>. Longer texts without any syncmer keep an empty one."""
+    """The SKETCH least syncmers, ascending: array<bigint>; never empty."""
     return F.slice(syncmers(text), 1, SKETCH)
 
 

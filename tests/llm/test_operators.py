@@ -64,6 +64,15 @@ def test_syncmers_ignore_context(spark):
     assert 10 < len(a) < 45 and len(a - b) <= 4
 
 
+def test_short_texts_have_their_own_fingerprints(spark):
+    rng = random.Random(12)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(rng.choice([1, 4, 5, 6, 7]))) for _ in range(200)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(df).collect()}
+    assert len({got[k]["fingerprint"] for k in range(200)}) == len(set(texts)) and all(r["fingerprint"] for r in got.values())
+    assert all(got[k]["fingerprint"] == got[k + 200]["fingerprint"] and got[k]["near_next"] == 0 for k in range(200))
+
+
 def brute_lines(texts, least):
     keys = [[re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")] for t in texts]
     count = Counter(k for ks in keys for k in set(ks) if k)
