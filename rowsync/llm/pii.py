@@ -24,7 +24,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Tokens that may be identifiers: with a digit or an at sign.
-CANDIDATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z@._%+()-]*+[0-9@])[A-Za-z0-9@._%+()-]++"
+CANDIDATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z._%+()-]*+[0-9@])[A-Za-z0-9@._%+()-]++"
+#: Numbers written in groups with single spaces between them: as many whole groups as have 19 digits at most. Possessive
+#: between the digits, so a place where one may begin costs a bounded number of steps.
+GROUPED = r"(?<![A-Za-z0-9@._%+()-])(?=[0-9()+.-]++\x20[(+]{0,2}+[0-9])[(+]{0,2}+[0-9](?:[()+.-]{0,3}+(?:\x20[(+]{0,2}+)?+[0-9]){7,18}(?![()+.-]*+[A-Za-z0-9@_%])"
 TURNS, SUPPORT, BELIEVED = 3, 3, 0.6
 CONTEXT_CHARS = 24
 
@@ -80,7 +83,8 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def _kind_of(v: Column) -> Column:
-    """Which kind a candidate token is shaped like; null for none."""
+    """Which kind a candidate is shaped like; null for none."""
+    v = F.translate(v, " ", "")
     n = F.length(F.translate(v, "0123456789", "0123456789")) - F.length(F.translate(v, "0123456789", ""))
     only = F.length(F.translate(v, "0123456789()+.-_%", "")) == 0
     return (
@@ -111,11 +115,11 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     worth = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9 -]{14}"), "phone": text.rlike(r"\+[0-9]")}
     base = F.concat(*[F.when(worth[kind], of(k, kind)).otherwise(none).cast(_OCC) for k, kind in enumerate(KINDS)])
-    more = F.filter(
-        F.transform(matches(text, CANDIDATE), lambda x: F.struct(_kind_of(x["v"]).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["l"].alias("l"), x["r"].alias("r"))),
+    shaped = lambda pattern: F.filter(
+        F.transform(matches(text, pattern), lambda x: F.struct(_kind_of(x["v"]).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["l"].alias("l"), x["r"].alias("r"))),
         lambda x: x["k"].isNotNull(),
     )
-    out = rows.withColumn("base", base).withColumn("more", F.when(text.rlike("[0-9]{2}|@"), more).otherwise(none).cast(_OCC))
+    out = rows.withColumn("base", base).withColumn("more", F.concat(F.when(text.rlike("[0-9]{2}|[0-9][().+_%-]+[0-9]|@"), shaped(CANDIDATE)).otherwise(none).cast(_OCC), F.when(text.rlike(r"[0-9][()+.-]{0,3}\x20[(+]{0,2}[0-9]"), F.filter(shaped(GROUPED), lambda x: F.contains(x["v"], F.lit(" ")))).otherwise(none).cast(_OCC)))
     free = F.filter("more", lambda c: ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     return out.select("k1", "k2", "id", "base", free.alias("more"))
 

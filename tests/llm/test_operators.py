@@ -209,6 +209,13 @@ def test_pii_learns_from_context(spark):
     assert clean[100] == "please call [PHONE] now" and clean[101] == rows[-1][1] and clean[0] == "please call [PHONE] now"
 
 
+def test_pii_learns_numbers_in_groups_and_short_addresses(spark):
+    rows = [(k, f"please call +49 30 555{k:05d} now") for k in range(20)] + [(20 + k, f"write to a{k}@mail.example.com today") for k in range(20)]
+    rows += [(100, "please call 030 555 1234 now"), (101, "please call (030) 5551 2345 now"), (102, "order 030 555 9999 pieces"), (103, "write to bob@localhost today"), (104, "please call 12345678 now"), (105, "please call 1-2-3-4-5-6-7-8 now")]
+    got = {r["id"]: r["s"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("id", pii.as_string(pii.F.col("spans")).alias("s")).collect()}
+    assert [got[k] for k in range(100, 106)] == ["phone:12:24", "phone:12:27", "", "email:9:22", "phone:12:20", "phone:12:27"]
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs).toPandas()
     coder = packing.Coder(packing.tokenizer_path("byte_bpe_50k.json"))
