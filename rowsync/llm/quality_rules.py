@@ -31,10 +31,8 @@ HEAVY = 1 << 20
 UNIT = 1 << 20
 #: A language needs this share of all documents for a model and bands of its own; the others share those of "*".
 OWN_SHARE = 0.01
-#: Documents outside these many robust deviations from their language's median log perplexity are rejected.
-BAND_LOW, BAND_HIGH = 30.0, 30.0
-#: Fewer symbols than this give no verdict by perplexity.
-LEAST_SYMBOLS = 200
+#: The bands leave out this share of the good rows that they are set from, half of it on either side.
+GOOD_OUTSIDE = 0.01
 SYMBOL_SET = b"#*$%&|<>"
 
 
@@ -204,12 +202,14 @@ def _broadcast(spark: SparkSession, known: DataFrame):
     return spark.sparkContext.broadcast((keys[order], costs[order].astype(np.int32)))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", good: DataFrame | None = None) -> DataFrame:
     """Counts, log perplexity and verdict, a row for each input row.
 
     ``kept`` is false where the counts fail (``base_failed``) or the log perplexity lies outside the bands of the row's
-    language: median less or more so many robust deviations (scaled median of distances). Null text has no words; a null
-    or rare language uses the model and bands of all languages together. Repeated rows stay. An empty table gives an
+    language, from ``low`` to ``high``: median less or more so many robust deviations (scaled median of distances), which
+    are larger by the root of the ratio where a text has fewer n-grams than the median. How many deviations is set so
+    that GOOD_OUTSIDE of the rows with ids in ``good(doc_id)`` lie outside; without any, of all rows that the counts pass.
+    Null text has no words; a null or rare language uses the model and bands of all languages together. Repeated rows stay. An empty table gives an
     empty one.
     """
     spark = df.sparkSession
@@ -241,13 +241,22 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     measured = measured.drop("other").join(more, "row", "left")
     log_ppl = (F.col("cost") + F.coalesce("more", F.lit(0))) / F.greatest("n_grams", F.lit(1)) / UNIT
     measured = stored(measured.withColumn("log_ppl", log_ppl).drop("row", "cost", "more"), "scored")
-    sound = measured.where(~F.col("base_failed") & (F.col("n_grams") >= LEAST_SYMBOLS))
-    middle = sound.groupBy("model").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"))
-    far = sound.join(F.broadcast(middle), "model").groupBy("model").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 1000).alias("mad"))
-    bands = far.select("model", (F.col("mid") - BAND_LOW * 1.4826 * F.greatest("mad", F.lit(0.004))).alias("low"), (F.col("mid") + BAND_HIGH * 1.4826 * F.greatest("mad", F.lit(0.004))).alias("high"))
-    odd = (F.col("n_grams") >= LEAST_SYMBOLS) & ~F.col("log_ppl").between(F.col("low"), F.col("high"))
-    return measured.join(F.broadcast(bands), "model", "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
+    sound = measured.where(~F.col("base_failed"))
+    middle = sound.groupBy("model").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"), F.percentile_approx("n_grams", 0.5, 1000).alias("usual"))
+    far = sound.join(F.broadcast(middle), "model").groupBy("model").agg(F.first("mid").alias("mid"), F.first("usual").alias("usual"), F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 1000).alias("mad"))
+    far = stored(far, "spreads")  # a row for each model
+    deviation = 1.4826 * F.greatest("mad", F.lit(0.004)) * F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest("n_grams", F.lit(1))))
+    judged = measured.join(F.broadcast(far), "model", "left").withColumn("deviation", deviation)
+    z = judged.where(~F.col("base_failed")).select("doc_id", ((F.col("log_ppl") - F.col("mid")) / F.col("deviation")).alias("z"))
+    ends = F.percentile_approx("z", [GOOD_OUTSIDE / 2, 1 - GOOD_OUTSIDE / 2], 10_000).alias("ends")
+    found = z.join(good.select("doc_id").distinct(), "doc_id", "left_semi").agg(ends).first()["ends"] if good is not None else None
+    least, most = found or z.agg(ends).first()["ends"] or (0.0, 0.0)
+    judged = judged.withColumn("low", F.col("mid") + least * F.col("deviation")).withColumn("high", F.col("mid") + most * F.col("deviation"))
+    inside = ((F.col("log_ppl") - F.col("mid")) / F.col("deviation")).between(least, most)
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("mid", "usual", "mad", "deviation")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out)
+    return quality_rules(table(spark, sf_dir, "documents"), good=good).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")

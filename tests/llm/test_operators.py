@@ -268,6 +268,19 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.quality_rules(docs).count() == len(ROWS) and quality_rules.quality_rules(none).count() == 0
 
 
+def test_bands_follow_the_good_rows_and_judge_short_texts(spark):
+    rng = random.Random(13)
+    known = ["".join(rng.choice("aeiou" if i % 2 else "bdlmnrst") for i in range(rng.randint(2, 7))) for _ in range(300)]
+    clean = [" ".join(rng.choice(known) for _ in range(rng.randint(60, 160))) for _ in range(400)]
+    short = [" ".join(rng.choice(known) for _ in range(14)) for _ in range(10)]
+    bad = [" ".join("".join(rng.choice("qxzjkvwpyghc") for _ in range(5)) for _ in range(n)) for n in (12, 15, 20, 30)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*clean, *short, *bad])], "doc_id long, text string, lang string")
+    good = spark.range(0, 300).withColumnRenamed("id", "doc_id")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df, good=good).collect()}
+    assert not any(got[k]["base_failed"] or got[k]["kept"] for k in range(410, 414)) and got[410]["n_grams"] < 200
+    assert sum(got[k]["kept"] for k in range(400)) >= 390 and sum(got[k]["kept"] for k in range(400, 410)) >= 9
+
+
 def brute_kneser_ney(words_of: dict) -> dict:
     """Probability of each n-gram (language, bytes), by the textbook's recursion over a dictionary of counts."""
     order, out = quality_rules.ORDER, {}
