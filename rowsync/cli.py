@@ -86,7 +86,7 @@ def _run(a: argparse.Namespace) -> int:
         else:
             print(e.count(changes))
     elif a.command == "apply":
-        e.apply(data, {n: c.drop("seq") for n, c in e.load(a.changeset, tables).items()}, data.foreign_keys() if hasattr(data, "foreign_keys") else ())
+        e.apply(data, {n: c.drop("seq") for n, c in e.load(a.changeset, tables).items()})
     elif a.command == "rebase-diff":
         out, conflicts = e.rebase_changes(e.diff(data, e.open(a.driver, a.ours)), e.load(a.theirs_changeset, tables), keys)
         e.save(out, tables, a.out)
@@ -107,7 +107,7 @@ def _run(a: argparse.Namespace) -> int:
         print(e.summary(e.load(a.changeset, tables)))
     elif a.command == "copy":
         kind = a.target_driver or a.driver
-        e.copy(data, e.open(kind, a.target, **({"create": True} if kind == "sqlite" else {})))
+        e.copy(data, e.open(kind, a.target, **({"create": True} if kind in ("sqlite", "postgres") else {})))
     elif a.command == "schema":
         _out(e.schema(data), a.out)
     elif a.command == "dump":

@@ -5,13 +5,20 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import ship
+
 # Bytes of an envelope by its code.
 ENVELOPE_BYTES = (0, 32, 48, 48, 64)
 
 
+def size_of_header(blob: bytes) -> int:
+    """``header_size`` of one blob on the driver."""
+    return 8 + ENVELOPE_BYTES[blob[3] >> 1 & 7]
+
+
 def header_size(blob: Column) -> Column:
     flags = F.conv(F.hex(F.substring(blob, 4, 1)), 16, 10).cast("int")
     code = F.shiftright(flags.bitwiseAND(14), 1)
@@ -62,6 +69,18 @@ def _walk(data: bytes, at: int, box: list, top: bool = True) -> tuple[int, int,
     return at, kind, z
 
 
+def bounds(blob: bytes) -> tuple[float, float, float, float] | None:
+    """(least x, greatest x, least y, greatest y) of a geometry blob, from its envelope if it has one; None if it is empty."""
+    code = blob[3] >> 1 & 7
+    if blob[3] >> 4 & 1:
+        return None
+    if code:
+        return struct.unpack_from("<4d" if blob[3] & 1 else ">4d", blob, 8)
+    box = [[float("inf"), float("-inf")] for _ in range(3)]
+    _walk(blob, 8, box)
+    return None if box[0][0] > box[0][1] else (*box[0], *box[1])
+
+
 def with_header(wkb: bytes | None, srs_id: int) -> bytes | None:
     """Header and well-known binary: points have no envelope; others x, y and z bounds; measures are left out."""
     if not wkb:
@@ -77,6 +96,7 @@ def with_header(wkb: bytes | None, srs_id: int) -> bytes | None:
 
 def from_wkb(wkb: Column, srs_id: int) -> Column:
     """``with_header`` as a column. The envelope needs a walk over the bytes, so this runs in Python, by Arrow batches."""
+    ship(SparkSession.getActiveSession())
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:

@@ -6,27 +6,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normal_datetime
 from ..model import UnsupportedError
 
+#: Names that a change frame needs for itself.
+RESERVED = ("op", "seq")
+
 
 def _columns(base: DataFrame, modified: DataFrame, keys: list[str]) -> list[str]:
     if not keys:
         raise UnsupportedError("a table without a primary key can't be compared")
     if base.columns != modified.columns:
         raise UnsupportedError(f"the columns differ: {base.columns} and {modified.columns}")
+    _check_names(keys)
     return [c for c in base.columns if c not in keys]
 
 
-def same(base: DataFrame, c: str, a: Column, b: Column, datetimes: list[str]) -> Column:
-    """Null-safe equality of two cells of column ``c``; datetimes by instant, rounded to milliseconds."""
-    if c not in datetimes:
+def _check_names(keys: list[str]) -> None:
+    if taken := [k for k in keys if k in RESERVED]:
+        raise UnsupportedError(f"a key column can't be named {taken[0]}: a change frame has a column of that name")
+
+
+def equal(kind: T.DataType, a: Column, b: Column, by_instant: bool) -> Column:
+    """Null-safe equality of two cells; datetimes by instant, rounded to milliseconds."""
+    if not by_instant:
         return a.eqNullSafe(b)
-    kind = base.schema[c].dataType
     return normal_datetime(a, kind).eqNullSafe(normal_datetime(b, kind))
 
 
+def same(base: DataFrame, c: str, a: Column, b: Column, datetimes: list[str]) -> Column:
+    """``equal`` for two cells of column ``c`` of ``base``."""
+    return equal(base.schema[c].dataType, a, b, c in datetimes)
+
+
 def any_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols, F.lit(False))
 
@@ -81,5 +95,6 @@ def dump(df: DataFrame, keys: list[str]) -> DataFrame:
     """All rows as inserts."""
     if not keys:
         raise UnsupportedError("a table without a primary key can't be dumped")
+    _check_names(keys)
     cols = [c for c in df.columns if c not in keys]
     return df.select(*keys, F.lit("insert").alias("op"), *[x for c in cols for x in (F.lit(None).cast(df.schema[c].dataType).alias(f"old_{c}"), F.col(c).alias(f"new_{c}"), F.lit(True).alias(f"changed_{c}"))])

@@ -14,6 +14,7 @@ from ..operators import rebase as rb
 from ..schema import table_of
 from . import ship
 from . import workload as w
+from .storage import stored
 
 K, COLS = [w.KEY], w.COLS
 FLAT = ", ".join(f"{p}_{c}" for c in COLS for p in ("old", "new", "changed"))
@@ -29,7 +30,7 @@ def _bo(s: SparkSession, p: str) -> DataFrame:
 
 
 def _rebased(s: SparkSession, p: str) -> rb.Rebased:
-    return rb.rebase(rb.with_seq(_bo(s, p), K), _bt(s, p), K)
+    return rb.rebase(stored(_bo(s, p), "ours"), stored(_bt(s, p), "theirs"), K)
 
 
 # --- M: our changes rewritten after theirs, in SQL
@@ -49,14 +50,23 @@ ri AS (SELECT coalesce(new_key, o_orderkey) AS o_orderkey, op, {FLAT} FROM bo LE
 ru AS (SELECT o_orderkey, op, {_U_CELLS} FROM {_LEFT} WHERE op = 'update' AND coalesce(t_op, '') <> 'delete' AND ({' OR '.join(_STILL.values())})),
 rd AS (SELECT o_orderkey, op, {_D_CELLS} FROM {_LEFT} WHERE op = 'delete' AND coalesce(t_op, '') <> 'delete')"""
 CONFLICTS_SQL = f"{WITH} " + " UNION ALL ".join(
-    f"SELECT o_orderkey, '{c}' AS \"column\", {'old_' + c} IS NULL AS base_null, t_op = 'delete' OR t_new_{c} IS NULL AS theirs_null, new_{c} IS NULL AS ours_null FROM {_J} "
+    f"SELECT o_orderkey, '{c}' AS \"column\", old_{c}::VARCHAR AS base, CASE WHEN t_op = 'update' THEN t_new_{c}::VARCHAR END AS theirs, new_{c}::VARCHAR AS ours FROM {_J} "
     f"WHERE op = 'update' AND changed_{c} AND (t_op = 'delete' OR (t_ch_{c} AND new_{c} IS DISTINCT FROM t_new_{c}))"
     for c in COLS
 )
 
 
-def rebase_conflicts(s: SparkSession, p: str) -> DataFrame:
-    return _rebased(s, p).conflicts.select(w.KEY, "column", *[F.col(c).isNull().alias(f"{c}_null") for c in ("base", "theirs", "ours")])
+def rebase_mapping_wide(s: SparkSession, p: str) -> DataFrame:
+    """Most rows of ``orders`` inserted again on both sides, so that most of our keys collide."""
+    made = lambda keep: stored(d.dump(w.orders(s, p).where(keep).withColumn(w.KEY, F.col(w.KEY) + w.SHIFT), K), "inserts")
+    k = F.col(w.KEY)
+    return rb.key_mapping(made(k % 8 != 0), made(k % 10 != 3), w.KEY)
+
+
+WIDE_SQL = f"""WITH t AS (SELECT o_orderkey + {w.SHIFT} AS k FROM orders WHERE o_orderkey % 10 <> 3), mine AS (SELECT o_orderkey + {w.SHIFT} AS k FROM orders WHERE o_orderkey % 8 <> 0),
+top AS (SELECT max(k) AS m FROM t), hits AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM mine WHERE k IN (SELECT k FROM t)), n AS (SELECT count(*) AS n FROM hits),
+rest AS (SELECT k, row_number() OVER (ORDER BY k) AS j FROM mine, top WHERE k NOT IN (SELECT k FROM t) AND k > m)
+SELECT k AS old_key, m + i AS new_key FROM hits, top UNION ALL SELECT k, m + n + j FROM rest, top, n WHERE k - j <= m + n - 1"""
 
 
 def _merged(s: SparkSession, p: str) -> DataFrame:
@@ -99,10 +109,10 @@ def _filtered(s: SparkSession, p: str, tables: TableFilter) -> DataFrame:
 
 
 def list_changes_long(s: SparkSession, p: str) -> DataFrame:
-    return ch.list_changes(_bt(s, p), K).where("column <> 'o_orderdate' AND column <> 'o_totalprice'")
+    return ch.list_changes(_bt(s, p), K)
 
 
-LIST_SQL = f"{WITH} " + " UNION ALL ".join(f"SELECT o_orderkey, op, '{c}' AS \"column\", old_{c}::VARCHAR AS old_value, new_{c}::VARCHAR AS new_value FROM bt WHERE changed_{c}" for c in COLS if c not in ("o_orderdate", "o_totalprice"))
+LIST_SQL = f"{WITH} " + " UNION ALL ".join(f"SELECT o_orderkey, op, '{c}' AS \"column\", old_{c}::VARCHAR AS old_value, new_{c}::VARCHAR AS new_value FROM bt WHERE changed_{c}" for c in COLS)
 
 
 def schema_rows(s: SparkSession, p: str) -> DataFrame:
@@ -144,12 +154,22 @@ def changes_json(s: SparkSession, p: str) -> DataFrame:
     return ch.to_json(_bt(s, p), "orders", [w.KEY, *COLS], K).select(w.KEY, "op", "json")
 
 
+def _json_sql() -> str:
+    text = {c: f"coalesce('\"' || {{x}}::VARCHAR || '\"', 'null')" for c in COLS} | {c: "coalesce({x}::VARCHAR, 'null')" for c in ("o_custkey", "o_totalprice")}
+    cell = lambda k, c: f"""CASE WHEN changed_{c} THEN ',{{"column":{k}' || CASE WHEN op <> 'insert' THEN ',"old":' || {text[c].format(x='old_' + c)} ELSE '' END || CASE WHEN op <> 'delete' THEN ',"new":' || {text[c].format(x='new_' + c)} ELSE '' END || '}}' ELSE '' END"""
+    key = """'{"column":0' || CASE WHEN op <> 'insert' THEN ',"old":' || o_orderkey ELSE '' END || CASE WHEN op = 'insert' THEN ',"new":' || o_orderkey ELSE '' END || '}'"""
+    return f"""{WITH} SELECT o_orderkey, op, '{{"table":"orders","type":"' || op || '","changes":[' || {key} || {' || '.join(cell(k, c) for k, c in enumerate(COLS, 1))} || ']}}' AS json FROM bt"""
+
+
+JSON_SQL = _json_sql()
+
+
 def change_log(s: SparkSession, p: str) -> DataFrame:
     """Changes as cells of the file format and back."""
     from ..sources.changeset import from_log, to_log
 
     ship(s)
-    return from_log(to_log(_bt(s, p), "orders", [w.KEY, *COLS], K), table_of("orders", w.orders(s, p).schema, K)).select(w.KEY, "op", *[f"changed_{c}" for c in COLS])
+    return from_log(to_log(_bt(s, p), "orders", [w.KEY, *COLS], K), table_of("orders", w.orders(s, p).schema, K)).drop("seq")
 
 
 def conversations_diff(s: SparkSession, p: str) -> DataFrame:
@@ -179,10 +199,10 @@ QUERIES = {
     "concat_two": lambda s, p: ch.concat([_bt(s, p), _bo(s, p)], K),
     "concat_three": concat_three,
     "rebase_mapping": lambda s, p: _rebased(s, p).mapping,
-    "rebased_inserts": lambda s, p: _rebased(s, p).changes.where("op = 'insert'").drop("seq"),
-    "rebased_updates": lambda s, p: _rebased(s, p).changes.where("op = 'update'").drop("seq"),
-    "rebased_deletes": lambda s, p: _rebased(s, p).changes.where("op = 'delete'").drop("seq"),
-    "rebase_conflicts": rebase_conflicts,
+    "rebased_inserts": lambda s, p: _rebased(s, p).inserts,
+    "rebased_updates": lambda s, p: _rebased(s, p).others.where("op = 'update'"),
+    "rebased_deletes": lambda s, p: _rebased(s, p).others.where("op = 'delete'"),
+    "rebase_conflicts": lambda s, p: _rebased(s, p).conflicts,
     "apply_orders": lambda s, p: ap.applied(w.orders(s, p), _bt(s, p), K),
     "apply_conflicts": apply_conflicts,
     "roundtrip_empty_diff": lambda s, p: d.diff(ap.applied(w.orders(s, p), _bt(s, p), K), w.theirs(s, p), K).select(w.KEY, "op"),
@@ -191,6 +211,7 @@ QUERIES = {
     "unique_violations": lambda s, p: ap.unique_violations(w.orders(s, p), ["o_custkey"]).select("o_custkey", "n"),
     "gpkg_strip_header": gpkg_strip_header,
     "changes_json": changes_json,
+    "rebase_mapping_wide": rebase_mapping_wide,
     "change_log": change_log,
 }
 ORACLE_SQL = {
@@ -222,5 +243,7 @@ ORACLE_SQL = {
     "fk_violations": "SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
     "unique_violations": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
     "gpkg_strip_header": "SELECT c_custkey, '0101000000' || lpad(hex(c_custkey), 32, '0') AS wkb FROM customer",
-    "change_log": f"{WITH} SELECT o_orderkey, op, {', '.join(f'changed_{c}' for c in COLS)} FROM bt",
+    "change_log": f"{WITH} SELECT o_orderkey, op, {FLAT} FROM bt",
+    "changes_json": JSON_SQL,
+    "rebase_mapping_wide": WIDE_SQL,
 }

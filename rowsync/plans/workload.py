@@ -26,7 +26,7 @@ def _edited(base: DataFrame, dropped, cells: dict, added, status: str) -> DataFr
 def theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col(KEY)
     cells = {"o_totalprice": F.when(k % 13 == 5, F.col("o_totalprice") + 1.0).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(k % 19 != 7, F.col("o_orderpriority"))}
-    return _edited(orders(spark, sf_dir), k % 17 == 3, cells, (k < 500) & (k % 5 == 0), "T")
+    return _edited(orders(spark, sf_dir), k % 17 == 3, cells, k % 5 == 0, "T")
 
 
 def ours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def ours(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority": F.when(k % 19 != 7, F.col("o_orderpriority")),
         "o_orderstatus": F.when(k % 11 == 2, F.lit("X")).otherwise(F.col("o_orderstatus")),
     }
-    return _edited(orders(spark, sf_dir), ((k % 17 == 3) & (k % 2 == 0)) | (k % 23 == 4), cells, (k < 600) & (k % 3 == 0), "O2")
+    return _edited(orders(spark, sf_dir), ((k % 17 == 3) & (k % 2 == 0)) | (k % 23 == 4), cells, k % 3 == 0, "O2")
 
 
 def shifted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +52,13 @@ _SAME = "o_orderkey, o_custkey"
 THEIRS_SQL = f"""theirs AS (
   SELECT {_SAME}, o_orderstatus, CASE WHEN o_orderkey % 13 = 5 THEN o_totalprice + 1.0 ELSE o_totalprice END AS o_totalprice, o_orderdate,
          CASE WHEN o_orderkey % 19 <> 7 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 17 <> 3
-  UNION ALL SELECT o_orderkey + {SHIFT}, o_custkey, 'T', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey < 500 AND o_orderkey % 5 = 0)"""
+  UNION ALL SELECT o_orderkey + {SHIFT}, o_custkey, 'T', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 5 = 0)"""
 OURS_SQL = f"""ours AS (
   SELECT {_SAME}, CASE WHEN o_orderkey % 11 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
          CASE WHEN o_orderkey % 13 = 5 THEN o_totalprice + 2.0 ELSE o_totalprice END AS o_totalprice, o_orderdate,
          CASE WHEN o_orderkey % 19 <> 7 THEN o_orderpriority END AS o_orderpriority
   FROM orders WHERE NOT ((o_orderkey % 17 = 3 AND o_orderkey % 2 = 0) OR o_orderkey % 23 = 4)
-  UNION ALL SELECT o_orderkey + {SHIFT}, o_custkey, 'O2', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey < 600 AND o_orderkey % 3 = 0)"""
+  UNION ALL SELECT o_orderkey + {SHIFT}, o_custkey, 'O2', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
 def diff_sql(base: str, modified: str, keys: list[str], cols: list[str], equal: dict[str, str] | None = None) -> str:
