@@ -20,7 +20,7 @@ def key_mapping(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
 
     With M the greatest key that they inserted, our k inserts on keys of theirs get M + 1 to M + k in our order (``seq``,
     or by key where there is none). Of our other inserts beyond M, ascending, the j-th moves to M + k + j if its key less
-    j is below M + k. One join says which keys are taken; both numberings start from its stored result.
+    j is below M + k.
     """
     kind = ours.schema[key].dataType
     empty = ours.sparkSession.createDataFrame([], T.StructType([T.StructField(n, kind) for n in ("old_key", "new_key")]))
@@ -29,15 +29,15 @@ def key_mapping(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     if top is None:
         return empty
     mine = ours.where("op = 'insert'").select(F.col(key).alias("old_key"), (F.col("seq") if "seq" in ours.columns else F.lit(0)).alias("seq"))
-    mine = stored(mine.join(their, F.col("old_key") == F.col("t_key"), "left").where(F.col("t_key").isNotNull() | (F.col("old_key") > top)), "our_keys")
-    hits = numbered(mine.where("t_key IS NOT NULL").drop("t_key"), ["seq", "old_key"], "i")
-    k = hits.count()
+    taken = F.col("t_key").isNotNull()
+    mine = mine.join(their, F.col("old_key") == F.col("t_key"), "left").where(taken | (F.col("old_key") > top)).select("old_key", taken.alias("taken"), F.when(taken, F.col("seq")).alias("seq"))
+    # one numbering: first the keys that are taken, then the others
+    all_of = numbered(mine, [F.col("taken").desc(), "seq", "old_key"], "i").select("old_key", "taken", "i")
+    k = all_of.where("taken").count()
     if not k:
         return empty
-    moved = hits.select("old_key", (F.lit(top) + F.col("i")).cast(kind).alias("new_key"))
-    rest = numbered(mine.where("t_key IS NULL").select("old_key"), ["old_key"], "j")
-    pushed = rest.where(F.col("old_key") - F.col("j") <= top + k - 1).select("old_key", (F.lit(top + k) + F.col("j")).cast(kind).alias("new_key"))
-    return moved.unionByName(pushed)
+    moved = F.col("taken") | (F.col("old_key") - (F.col("i") - k) <= top + k - 1)
+    return all_of.where(moved).select("old_key", (F.lit(top) + F.col("i")).cast(kind).alias("new_key"))
 
 
 class Rebased:
