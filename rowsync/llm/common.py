@@ -1,14 +1,15 @@
-"""Helpers that the corpus operators share: storage of intermediate tables, bindings, keyed lookups under skew."""
+"""Helpers that the corpus operators share: names of rows, bindings, keyed lookups under skew."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import ship
+from ..plans.storage import new_path as new_path
+from ..plans.storage import stored as stored
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,32 +17,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_SHARE = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder on one machine, and the warehouse, which is shared, on a cluster.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rowsync.shared.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = f"file://{tempfile.mkdtemp(prefix='rowsync-')}"
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("rowsync.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/rowsync/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later work starts from the files, whoever is lost."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, also where ``body`` uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -69,8 +44,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def row_keys(*cols: Column) -> tuple[Column, Column]:
-    """128 bits that name a row by its values; rows with equal values share them."""
-    return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
+    """128 bits that name a row by its values, nulls told apart by their places; rows with equal values share them."""
+    nulls = reduce(lambda a, b: a + b, [F.when(c.isNull(), 1 << k).otherwise(0) for k, c in enumerate(cols)])
+    return F.xxhash64(nulls, *cols), F.xxhash64(F.lit(7), nulls, *cols)
 
 
 def skew_lookup(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, values: list[str], spread: Column) -> DataFrame:
@@ -99,8 +75,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SENDABLE = 500_000
 
 
-def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``gone(id)``. Few ids are broadcast, more are joined by shuffle; null ids stay."""
-    gone = stored(gone.where(F.col("id").isNotNull()).select(F.col("id").alias("__gone")).distinct(), "gone")
+def without(df: DataFrame, keys: tuple[Column, Column], gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` (row_keys) are not in ``gone(k1, k2)``. Few keys are broadcast, more are joined by shuffle."""
+    gone = stored(gone.select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2")).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= SENDABLE else gone
-    return df.join(side, F.col(id_col) == F.col("__gone"), "left_anti")
+    return df.join(side, (keys[0] == F.col("__g1")) & (keys[1] == F.col("__g2")), "left_anti")
+

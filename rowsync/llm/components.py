@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import skew_lookup, stored
@@ -14,6 +14,11 @@ def _least(edges: DataFrame, n: int) -> DataFrame:
     return skew_lookup(edges, least, ["u"], "deg", max(n, 1), ["m"], F.col("v"))
 
 
+def checksum(*cols: str) -> Column:
+    """64 bits that a set of rows shares whatever its order; exclusive-or can't overflow, however many rows."""
+    return F.bit_xor(F.xxhash64(*cols))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(u long, v long)`` to ``(u, root)``: the least node of each component, for all nodes but the roots.
 
@@ -24,7 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = stored(edges.where("u <> v").select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        n, mark = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        n, mark = e.agg(F.count("*"), checksum("u", "v")).first()
         if (n, mark) == before or n == 0:
             return e.select("u", F.col("v").alias("root"))
         before = (n, mark)
