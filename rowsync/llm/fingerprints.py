@@ -3,7 +3,8 @@
 A text's tokens are its words (long ones in parts of TOKEN_CHARS code points; Han characters one by one). A window of K
 tokens is a syncmer if the least of its inner substrings of S tokens lies at either end of it. That depends on the
 window alone, so an edit moves no anchor elsewhere. A fingerprint is the SKETCH least of the syncmers' 32-bit hashes, in
-hexadecimal; two fingerprints' likeness estimates the Jaccard similarity of the syncmer sets.
+hexadecimal; two fingerprints' likeness estimates the Jaccard similarity of the syncmer sets. ``anchors`` gives all
+syncmers with their places, for matching passages by position.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ K, S, TOKEN_CHARS, SKETCH = 5, 2, 24, 128
 TOKEN = rf"\p{{IsHan}}|[^\s\p{{IsHan}}]{{1,{TOKEN_CHARS}}}"
 #: Range buckets: one for so many rows, but within these limits, so that what the driver holds of them is bounded.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 1 << 10, 1 << 16
+#: Ids that the ranges' bounds are taken from, about; which ones their hashes say. All rows are dealt out by the bounds.
+BOUND_IDS = 1 << 20
 
 
-def syncmers(text: Column) -> Column:
-    """Hashes of the closed syncmers of ``text``, 0 to 2**32 - 1, distinct, ascending: array<bigint>.
+def _low(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 32)
 
-    A text without any syncmer, as most of fewer than K + 2 tokens are, has one hash, of all its tokens; without tokens
-    there is one as well.
-    """
+
+def _windows(text: Column, wanted) -> Column:
+    """``wanted(h, some)`` of the tokens' hashes and, for each window of K, its hash if it is a closed syncmer, else null."""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    low = lambda h: F.shiftrightunsigned(h, 32)
 
     def select(h: Column) -> Column:
         inner = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
@@ -37,14 +39,36 @@ def syncmers(text: Column) -> Column:
             # the K - S + 1 inner substrings of window i are s[i] ... s[i + 3]
             return F.transform(
                 F.slice(s, 1, F.size(s) - (K - S)),
-                lambda x, i: F.when(F.least(x, F.get(s, i + 3)) <= F.least(F.get(s, i + 1), F.get(s, i + 2)), low(F.xxhash64(x, F.get(s, i + 2), F.get(s, i + 3)))),
+                lambda x, i: F.when(F.least(x, F.get(s, i + 3)) <= F.least(F.get(s, i + 1), F.get(s, i + 2)), _low(F.xxhash64(x, F.get(s, i + 2), F.get(s, i + 3)))),
             )
 
-        whole = F.array(low(F.xxhash64(h)))
-        some = let(inner, lambda s: F.filter(closed(s), lambda x: x.isNotNull()))
-        return F.when(F.size(h) < K, whole).otherwise(let(some, lambda m: F.when(F.size(m) == 0, whole).otherwise(m)))
+        return wanted(h, let(inner, closed))
+
+    return let(tokens, select)
+
+
+def anchors(text: Column) -> Column:
+    """All closed syncmers of ``text`` in order: array<struct<at, hash>>, ``at`` the place of the first of K tokens.
+
+    They depend on their own tokens alone, so equal passages of two texts have equal hashes at places that differ by the
+    same number. Texts under K tokens have none.
+    """
+    marks = lambda h, some: F.when(F.size(h) >= K, F.filter(F.transform(some, lambda x, i: F.struct(i.alias("at"), x.alias("hash"))), lambda x: x["hash"].isNotNull()))
+    return F.coalesce(_windows(text, marks), F.array().cast("array<struct<at:int,hash:bigint>>"))
+
+
+def syncmers(text: Column) -> Column:
+    """Hashes of the closed syncmers of ``text``, 0 to 2**32 - 1, distinct, ascending: array<bigint>.
+
+    A text without any syncmer, as most of fewer than K + 2 tokens are, has one hash, of all its tokens; without tokens
+    there is one as well.
+    """
+
+    def select(h: Column, some: Column) -> Column:
+        whole = F.array(_low(F.xxhash64(h)))
+        return F.when(F.size(h) < K, whole).otherwise(let(F.filter(some, lambda x: x.isNotNull()), lambda m: F.when(F.size(m) == 0, whole).otherwise(m)))
 
-    return F.sort_array(F.array_distinct(let(tokens, select)))
+    return F.sort_array(F.array_distinct(_windows(text, select)))
 
 
 def sketch(text: Column) -> Column:
@@ -80,13 +104,16 @@ def _bucket(bounds: list[int], c: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, cols: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """Each row's id and ``cols``, and as ``next_<name>`` those of the row with the next id; of the first for the last.
 
-    Null ids come first; rows with equal ids are ordered by the hash of their values. One shuffle: rows are dealt out by
+    Null ids come first; rows with equal ids are ordered by the hash of their values and lie in one range, so ids should
+    name rows. One shuffle: rows are dealt out by
     ranges of ids, and the first row of each range is also sent to the range before it.
     """
     ids = df.select(F.col(id_col).alias("id"))
-    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, ids.count() // BUCKET_ROWS))
+    total = ids.count()
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET_ROWS))
     share = F.split(F.lit(",".join(str(k / buckets) for k in range(1, buckets))), ",").cast("array<double>")
-    found = (ids.agg(F.percentile_approx("id", share, 20 * buckets)).first()[0] or []) if buckets > 1 else []
+    some = ids.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(max(1, total // BOUND_IDS))) == 0)).distinct()
+    found = (some.agg(F.percentile_approx("id", share, 20 * buckets)).first()[0] or []) if buckets > 1 else []
     bounds = sorted(set(found))
     bucket = _bucket(bounds, F.col("id"))
     firsts = {r["b"]: r["first"] for r in ids.groupBy(bucket.alias("b")).agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("first")).collect()}  # one row for each bucket
