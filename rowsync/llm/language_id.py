@@ -3,7 +3,8 @@
 Text likelihood: a byte-bigram model of each language, counted over all documents that declare one. Other evidence,
 where the table has it: the declared markup language, the address suffix, and the host, whose prior is smoothed from
 suffix to registered domain to host. How far each kind of evidence can be trusted is counted, by grouped aggregation,
-against the posterior by text alone. An "und" class with even bigrams takes text that fits no language.
+against the posterior by text alone. An "und" class takes text that fits no language: either the bytes' frequencies over
+all languages, without any regard to neighbours, or even 7-bit characters explain it better than every language does.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SENDABLE, prepare, skew_lookup, stored, table, text_or_empty, without
+from .common import SENDABLE, prepare, row_keys, skew_lookup, stored, table, text_or_empty, without
 from .words import flat_bytes, slices
 
 #: Languages whose tables are sent to the executors at once, 256 kB each; more are scored in further passes.
 TABLES = 64
 #: Bigrams that a text's evidence is worth at most; neighbouring bigrams aren't independent.
 WORTH = 200
-#: Log probability of a byte under "und", and its prior.
+#: Log probability of a byte among even 7-bit characters, and the prior of "und".
 UND_BYTE, UND_PRIOR = math.log(1 / 128), 0.01
 #: Pseudo-rows that a prior is worth to the level below, and counts added to each cell of the evidence tables.
 STRENGTH, ADDED = 20.0, 1.0
@@ -93,7 +94,9 @@ def _doubles(values: list[float]) -> Column:
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, train: Column | None = None) -> DataFrame:
-    """(id, language, posterior, kept), one row for each input row.
+    """(id, language, posterior, kept, k1, k2), one row for each input row.
+
+    ``k1`` and ``k2`` are row_keys of the id and all that the answer rests on: text, declared language, host, suffix.
 
     Each language that a row is counted for is a class, however few rows it has; "und" and "" say nothing. The cost grows
     with the number of languages.
@@ -106,6 +109,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     spark, none = df.sparkSession, F.lit(None).cast("string")
     declared, train = none if declared is None else F.lower(declared), F.lower(declared if train is None else train)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), declared.alias("declared"), (none if host is None else F.lower(host)).alias("host"), (none if suffix is None else F.lower(suffix)).alias("suffix"), train.alias("train"))
+    k1, k2 = row_keys(F.col("id"), F.col("text"), F.col("declared"), F.col("host"), F.col("suffix"))
+    docs = docs.withColumns({"k1": k1, "k2": k2})
     total = docs.count()
     named = F.col("train").isNotNull() & ~F.col("train").isin("", UND)
     langs = sorted(r["train"] for r in docs.where(named).select("train").distinct().collect())  # one row for each language
@@ -119,25 +124,33 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
                 for s in slices(b, "text"):
                     codes, doc, n = _codes(s["text"])
                     size = np.bincount(doc, minlength=n)
-                    sums = np.array([np.bincount(doc, weights=row[codes], minlength=n) for row in t] + [size * UND_BYTE] * last).reshape(-1, n).T
+                    sums = [np.bincount(doc, weights=row[codes], minlength=n) for row in t]
+                    if last:
+                        sums[-1] = np.logaddexp(sums[-1], size * UND_BYTE)
+                    sums = np.array(sums).reshape(-1, n).T
                     sums = sums * np.minimum(1, WORTH / np.maximum(1, size))[:, None]
                     sums = np.hstack([s["ll"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1), sums])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
                     text = pa.nulls(n, pa.string()) if last else s["text"]
-                    yield pa.RecordBatch.from_arrays([s["id"], text, s["declared"], s["host"], s["suffix"], lists, pa.array(size, pa.int64())], ["id", "text", "declared", "host", "suffix", "ll", "n"])
+                    yield pa.RecordBatch.from_arrays([*[s[c] for c in kept], text, lists, pa.array(size, pa.int64())], [*kept, "text", "ll", "n"])
 
         return score
 
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, text string, declared string, host string, suffix string, ll array<double>, n long"
-    rows = docs.select("id", "text", "declared", "host", "suffix", F.array().cast("array<double>").alias("ll"))
+    kept = ["id", "k1", "k2", "declared", "host", "suffix"]
+    schema = f"id {id_type}, k1 long, k2 long, declared string, host string, suffix string, text string, ll array<double>, n long"
+    rows = docs.select(*kept, "text", F.array().cast("array<double>").alias("ll"))
+    bytes_of = np.full(256, 0.1)
+    for r in counted.groupBy(F.col("code").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n")).collect():  # 256 rows at most
+        bytes_of[r["byte"]] += r["n"]
+    no_language = np.tile(np.log(bytes_of / bytes_of.sum()), 256)
     for at in range(0, max(1, len(langs)), TABLES):
         part, last = langs[at : at + TABLES], at + TABLES >= len(langs)
         tables = np.zeros((len(part), 65536))
         if part:
             got = counted.where(F.col("lang").isin(part)).select((F.array_position(F.array(*map(F.lit, part)), F.col("lang")) - 1).cast("int").alias("at"), F.col("code").cast("int").alias("code"), "n").toArrow()  # TABLES * 65536 rows at most
             tables[got["at"].to_numpy(), got["code"].to_numpy()] = got["n"].to_numpy()
-        sent = spark.sparkContext.broadcast(np.array([bigram_table(t) for t in tables], np.float32).reshape(len(part), 65536))
+        sent = spark.sparkContext.broadcast(np.array([bigram_table(t) for t in tables] + [no_language] * last, np.float32).reshape(-1, 65536))
         rows = stored(rows.drop("n").mapInArrow(scorer(sent, last), schema), "likelihoods")
         sent.unpersist()
     rows = rows.drop("text")
@@ -149,17 +162,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     base = [x / sum(base) for x in base]
 
     def keyed(name: str) -> list[Column]:
-        return [F.xxhash64(name).alias("k1"), F.xxhash64(F.lit(7), name).alias("k2")]
+        return [F.xxhash64(name).alias("v1"), F.xxhash64(F.lit(7), name).alias("v2")]
 
     def lookup(rows: DataFrame, name: str, found: DataFrame, column: str) -> DataFrame:
-        """``found(k1, k2, n_rows, column)`` for the values of ``name``: sent if it is small."""
-        k1, k2 = keyed(name)
-        left = rows.withColumn("k1", k1).withColumn("k2", k2)
+        """``found(v1, v2, n_rows, column)`` for the values of ``name``: sent if it is small."""
+        v1, v2 = keyed(name)
+        left = rows.withColumn("v1", v1).withColumn("v2", v2)
         if found.count() * len(classes) <= SENDABLE:
-            out = left.join(F.broadcast(found.drop("n_rows")), ["k1", "k2"], "left")
+            out = left.join(F.broadcast(found.drop("n_rows")), ["v1", "v2"], "left")
         else:
-            out = skew_lookup(left, found, ["k1", "k2"], "n_rows", max(1, total), [column], F.struct("id", "n")).drop("__found")
-        return out.drop("k1", "k2")
+            out = skew_lookup(left, found, ["v1", "v2"], "n_rows", max(1, total), [column], F.struct("id", "n", "k1")).drop("__found")
+        return out.drop("v1", "v2")
 
     for name, given in (("declared", declared), ("suffix", suffix)):
         if given is None or not total:
@@ -186,7 +199,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     nothing = (F.col("n") == 0) & F.col("declared").isNull() & F.col("host").isNull() & F.col("suffix").isNull()
     best = F.array_position(F.col("final"), F.array_max("final")).cast("int") - 1
     language = F.when(nothing, UND).otherwise(F.get(F.array(*map(F.lit, classes)), best))
-    return out.select("id", language.alias("language"), F.array_max("final").alias("posterior")).withColumn("kept", F.col("language") != UND)
+    return out.select("id", language.alias("language"), F.array_max("final").alias("posterior"), (language != UND).alias("kept"), "k1", "k2")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -205,9 +218,18 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told, all columns as they were."""
-    return without(docs, "doc_id", identify_documents(docs).where(~F.col("kept")).select("id"))
+    """The documents whose language could be told, all columns as they were.
+
+    A row goes by its own answer, also where its id is null or another row has it too.
+    """
+    keys = row_keys(F.col("doc_id"), text_or_empty("text"), F.lower("lang"), F.lower("source"), F.lit(None).cast("string"))
+    return without(docs, keys, identify_documents(docs).where(~F.col("kept")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_documents(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")
+    """Documents, by text, declared language and source, and pages, by text, markup, address suffix and host."""
+    out = {}
+    for kind, found in (("document", identify_documents(table(spark, sf_dir, "documents"))), ("page", identify_pages(table(spark, sf_dir, "pages")))):
+        ids = [(F.col("id") if kind == k else F.lit(None)).cast("long").alias(name) for k, name in (("document", "doc_id"), ("page", "page_id"))]
+        out[kind] = found.select(*ids, "language", F.round("posterior", 6).alias("posterior"), "kept")
+    return out["document"].unionByName(out["page"])
