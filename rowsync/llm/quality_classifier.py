@@ -152,16 +152,26 @@ def _with_statistics(df: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[float, list[Rule]]:
-    """Learn from at most ``sample_rows`` labelled rows that aren't held out."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    """Learn from at most ``sample_rows`` labelled ids that aren't held out.
+
+    Null labels and ids are left out. An id that is labelled several times has its greatest label, one that several
+    documents have counts once, with the least of their statistics. Without labelled documents, or with labels that
+    don't differ, there are no rules and every score is the share of label 1 (a half without any).
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
+    chosen = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__id2"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("__id") == F.col("__id2"))
-    got = _with_statistics(rows, [F.col("__id"), F.col("__y")]).select("__id", "__y", "__stat.*").toPandas().sort_values("__id", kind="stable")
+    each = _with_statistics(rows, [F.col("__id"), F.col("__y")]).groupBy("__id", "__y").agg(F.min("__stat").alias("__stat"))
+    got = each.select("__id", "__y", "__stat.*").toPandas().sort_values("__id", kind="stable")
     names = list(statistics(F.lit("")))
     return learn({n: got[n].to_numpy(float) for n in names}, got["__y"].to_numpy())
 
 
 def score(docs: DataFrame, intercept: float, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score), one row for each input row. Null text counts as empty, whose statistics are zeros and ones."""
+    """(id, score), one row for each input row, repeated ones too; other columns are not read, whatever their names.
+
+    Null text counts as empty, whose statistics are zeros and ones. An empty table gives an empty one.
+    """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return _with_statistics(rows, [F.col("id")]).select("id", compiled(intercept, rules).alias("score"))
 
