@@ -24,8 +24,9 @@ from .words import gather, slices, spread
 MARK = "▁"
 #: How much worse than the worst piece a character outside the vocabulary scores.
 UNKNOWN_PENALTY = 10.0
-#: Characters of words searched at once.
-GROUP = 1 << 18
+#: Cells (longest word times number of words) of a group of words searched at once, and characters beyond which a word
+#: is searched on its own.
+GROUP, LONG = 1 << 18, 1024
 
 
 class DoubleArray:
@@ -115,16 +116,58 @@ class Unigram:
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(size, kind="stable")
         found: list = [None] * len(words)
-        at = 0
-        while at < len(order):
-            n = int(np.searchsorted(np.cumsum(size[order[at:]] + 1), GROUP, side="right"))
-            group = order[at : at + max(1, n)]
+        at, end = 0, int(np.searchsorted(size[order], LONG, side="right"))
+        while at < end:
+            cells = (size[order[at:end]] + 1) * np.arange(1, end - at + 1)
+            n = max(1, int(np.searchsorted(cells, GROUP, side="right")))
+            group = order[at : at + n]
             for k, ids in zip(group.tolist(), self._search([words[k] for k in group]), strict=True):
                 found[k] = ids
-            at += len(group)
+            at += n
+        for k in order[end:].tolist():
+            found[k] = self._search_long(words[k])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.concatenate(found), lengths
 
+    def _search_long(self, word: str) -> np.ndarray:
+        """Viterbi over one word: the trie goes over all places at once, then the best way is found place by place."""
+        flat = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.searchsorted(self.letters, flat)
+        c = np.where(self.letters[np.minimum(at, len(self.letters) - 1)] == flat, at, -1)
+        starts, ends, values = [], [], []
+        state, here = np.zeros(len(c), np.int64), np.arange(len(c))
+        for n in range(1, self.longest + 1):
+            inside = here + n <= len(c)
+            here = here[inside]
+            state = self.trie.step(state[inside], c[here + n - 1])
+            here, state = here[state >= 0], state[state >= 0]
+            if not len(here):
+                break
+            v = self.trie.value[state]
+            starts.append(here[v >= 0])
+            ends.append(here[v >= 0] + n)
+            values.append(v[v >= 0])
+        start, end, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, values))
+        order = np.lexsort((end, start))
+        end, value, worth = end[order].tolist(), value[order].tolist(), self.scores[value[order]].tolist()
+        bound = np.searchsorted(start[order], np.arange(len(c) + 1)).tolist()
+        best, piece, back = [0.0] + [-np.inf] * len(c), [-1] * (len(c) + 1), [0] * (len(c) + 1)
+        for i in range(len(c)):
+            single, here_best = False, best[i]
+            for k in range(bound[i], bound[i + 1]):
+                j, score = end[k], here_best + worth[k]
+                single |= j == i + 1
+                if score > best[j]:
+                    best[j], piece[j], back[j] = score, value[k], i
+            if not single and here_best + self.unknown > best[i + 1]:
+                best[i + 1], piece[i + 1], back[i + 1] = here_best + self.unknown, -1, i
+        out, j = [], len(c)
+        while j:
+            i = back[j]
+            out.append([piece[j]] if piece[j] >= 0 else self.byte_id[list(word[i:j].encode("utf-8", "surrogatepass"))].tolist())
+            j = i
+        return np.array([x for ids in reversed(out) for x in ids], np.int64)
+
     def _search(self, words: list[str]) -> list[np.ndarray]:
         """Viterbi over words sorted by length, position by position for all of them."""
         size = np.fromiter(map(len, words), np.int64, len(words))
