@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and contextual extraction that starts from what they find.
 
 Fixed patterns give seed entities. Every seed, and every other token shaped like an identifier, is an instance with two
-lexical patterns: the word before it and the word after it. Spark scores the graph of patterns and instances in turns: a
+lexical patterns: the word before it and the word after it. Spark scores the graph of patterns and instances in turns, until none adds an instance: a
 pattern by the share of its instances that are believed, an instance by its best pattern. Identifiers of patterns that
 are believed widely enough are added. Everything is DataFrame functions; after the first pass over the texts only small
 tables are shuffled.
@@ -28,7 +28,7 @@ CANDIDATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z._%+()-]*+[0-9@])[A-Za-z0-9@._%+
 #: Numbers written in groups with single spaces between them: as many whole groups as have 19 digits at most. Possessive
 #: between the digits, so a place where one may begin costs a bounded number of steps.
 GROUPED = r"(?<![A-Za-z0-9@._%+()-])(?=[0-9()+.-]++\x20[(+]{0,2}+[0-9])[(+]{0,2}+[0-9](?:[()+.-]{0,3}+(?:\x20[(+]{0,2}+)?+[0-9]){7,18}(?![()+.-]*+[A-Za-z0-9@_%])"
-TURNS, SUPPORT, BELIEVED = 3, 3, 0.6
+MOST_TURNS, SUPPORT, BELIEVED = 40, 3, 0.6
 CONTEXT_CHARS = 24
 
 
@@ -50,19 +50,52 @@ def passes(kind: str, v: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def _running(a: Column) -> Column:
-    """Running sums of an array<int>, in blocks, so that long arrays take less than square time."""
+def _running(a: Column, plus=lambda x, y: x + y) -> Column:
+    """Running sums of an array<int>, or other totals by ``plus``, in blocks, so that long arrays take less than square time."""
     size = 64
-    plus = lambda xs: F.aggregate(xs, F.lit(0), lambda x, y: x + y)
-    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda j: plus(F.slice(a, j * size + 1, size)))
-    before = lambda b: F.transform(b, lambda _, j: plus(F.slice(b, F.lit(1), j)))
+    none = F.lit(None).cast("int")
+    total_of = lambda xs: F.aggregate(xs, none, lambda x, y: F.coalesce(plus(x, y), y))
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda j: total_of(F.slice(a, j * size + 1, size)))
+    before = lambda b: F.transform(b, lambda _, j: total_of(F.slice(b, F.lit(1), j)))
 
     def total(a: Column, b: Column) -> Column:
-        return F.transform(a, lambda _, i: F.get(b, F.floor(i / size).cast("int")) + plus(F.slice(a, F.floor(i / size).cast("int") * size + 1, i % size + 1)))
+        def at(i: Column) -> Column:
+            own = total_of(F.slice(a, F.floor(i / size).cast("int") * size + 1, i % size + 1))
+            return let(F.get(b, F.floor(i / size).cast("int")), lambda x: F.coalesce(plus(x, own), own))
+
+        return F.transform(a, lambda _, i: at(i))
 
     return F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(let(a, lambda a: let(let(blocks(a), before), lambda b: total(a, b))))
 
 
+def _greatest(x: Column, y: Column) -> Column:
+    return F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y))
+
+
+def _free(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``.
+
+    A span overlaps if among the base spans that begin before its end one ends after its start. Those are found in two
+    short searches over the sorted base spans, whose running greatest ends are worked out once.
+    """
+    sorted_base = F.sort_array(F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
+
+    def select(b: Column, tops: Column) -> Column:
+        root = F.ceil(F.sqrt(F.size(b))).cast("int")
+        firsts = F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / root).cast("int")), lambda j: F.get(b, j * root)["s"])
+        upto = lambda xs, e: F.size(F.filter(xs, lambda s: s < e))
+
+        def clear(c: Column, heads: Column) -> Column:
+            group = F.greatest(upto(heads, c["e"]) - 1, F.lit(0))
+            n = let(group, lambda g: g * root + F.size(F.filter(F.slice(b, g * root + 1, root), lambda x: x["s"] < c["e"])))
+            return F.coalesce(F.get(tops, n - 1) <= c["s"], F.lit(True))
+
+        return let(firsts, lambda heads: F.filter(more, lambda c: clear(c, heads)))
+
+    found = let(sorted_base, lambda b: let(_running(F.transform(b, lambda x: x["e"]), _greatest), lambda tops: select(b, tops)))
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(found)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches: array<struct<s, e, v, l, r>> with code point bounds, the text, and the text just before and after."""
 
@@ -120,22 +153,28 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         lambda x: x["k"].isNotNull(),
     )
     out = rows.withColumn("base", base).withColumn("more", F.concat(F.when(text.rlike("[0-9]{2}|[0-9][().+_%-]+[0-9]|@"), shaped(CANDIDATE)).otherwise(none).cast(_OCC), F.when(text.rlike(r"[0-9][()+.-]{0,3}\x20[(+]{0,2}[0-9]"), F.filter(shaped(GROUPED), lambda x: F.contains(x["v"], F.lit(" ")))).otherwise(none).cast(_OCC)))
-    free = F.filter("more", lambda c: ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return out.select("k1", "k2", "id", "base", free.alias("more"))
+    return out.select("k1", "k2", "id", "base", _free(F.col("more"), F.col("base")).alias("more"))
 
 
 def _believed(seen: DataFrame) -> DataFrame:
-    """Instances (inst, n) of ``seen(inst, seed, pattern)`` that aren't seeds and that the scored graph believes."""
+    """Instances (inst, n) of ``seen(inst, seed, pattern)`` that aren't seeds and that the scored graph believes.
+
+    Scores only rise from turn to turn, so turns go on until one believes no more instances than the turn before.
+    """
     pairs = stored(seen.groupBy("pattern", "inst").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pairs")
     total = max(1, pairs.count())
-    score = None
-    for _ in range(TURNS):
+    score, before = None, -1
+    for _ in range(MOST_TURNS):
         scored = pairs.withColumn("score", F.col("seed")) if score is None else skew_lookup(pairs, score, ["inst"], "links", total, ["score"], F.col("pattern"))
         trust = scored.groupBy("pattern").agg(F.count("*").alias("links"), F.avg("score").alias("mean"), F.count_if(F.col("score") >= BELIEVED).alias("support"))
         trust = trust.select("pattern", "links", F.when(F.col("support") >= SUPPORT, F.col("mean")).otherwise(0.0).alias("trust"))
         told = skew_lookup(pairs, trust, ["pattern"], "links", total, ["trust"], F.col("inst"))
         score = stored(told.groupBy("inst").agg(F.count("*").alias("links"), F.max("seed").alias("seed"), F.max(F.greatest("seed", "trust")).alias("score"), F.sum("n").alias("n")), "scores")
-    return score.where((F.col("seed") == 0) & (F.col("score") >= BELIEVED)).select("inst", "n")
+        believed = score.where(F.col("score") >= BELIEVED).count()
+        if believed == before:
+            return score.where((F.col("seed") == 0) & (F.col("score") >= BELIEVED)).select("inst", "n")
+        before = believed
+    raise RuntimeError("the patterns' scores did not settle")
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,20 +211,31 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = spans.groupBy(F.col("k1").alias("s1"), F.col("k2").alias("s2")).agg(F.first("spans").alias("spans"))
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     rows = df.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    j = rows.join(spans.hint("shuffle_hash"), (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
-    apart = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<s:int,e:int,k:int>>"),
-        lambda done, x: F.when((F.size(done) > 0) & (x["s"] < F.get(done, F.size(done) - 1)["e"]), F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), let(F.get(done, F.size(done) - 1), lambda y: F.struct(y["s"].alias("s"), F.greatest(y["e"], x["e"]).alias("e"), y["k"].alias("k"))))).otherwise(F.array_append(done, x)),
-    )
+    j = rows.join(spans, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def rebuilt(a: Column) -> Column:
-        before = lambda i: F.coalesce(F.get(a, i - 1)["e"], F.lit(0))
-        parts = F.transform(a, lambda x, i: F.concat(F.substring(F.col("text"), before(i) + 1, x["s"] - before(i)), F.get(tags, x["k"])))
-        return F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.get(a, F.size(a) - 1)["e"] + 1, F.length("text")))
+    def apart(a: Column, tops: Column) -> Column:
+        """Overlapping spans as one: it begins where no span before it reaches, and ends where the next begins to be so."""
+        marked = F.transform(a, lambda x, i: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.get(tops, i - 1).alias("p")))
+        heads = F.filter(marked, lambda x: x["p"].isNull() | (x["s"] >= x["p"]))
+        return let(heads, lambda h: F.transform(h, lambda x, i: F.struct(x["s"].alias("s"), F.coalesce(F.get(h, i + 1)["p"], F.array_max(tops)).alias("e"), x["k"].alias("k"))))
+
+    size = 4096
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))
+
+    def rebuilt(a: Column, blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first = F.floor(start / size).cast("int")
+            some = F.slice(blocks, first + 1, F.floor((end - 1) / size).cast("int") - first + 1)
+            return F.when(end > start, F.substring(F.array_join(some, ""), start - first * size + 1, end - start)).otherwise("")
+
+        end_of = lambda i: F.coalesce(F.get(a, i)["e"], F.lit(0))
+        before = F.transform(a, lambda x, i: F.concat(piece(end_of(i - 1), x["s"]), F.get(tags, x["k"])))
+        return F.concat(F.array_join(before, ""), piece(end_of(F.size(a) - 1), F.length("text")))
 
-    return j.select("row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(let(apart, rebuilt)).alias("clean_text"))
+    merged = let(F.col("spans"), lambda a: let(_running(F.transform(a, lambda x: x["e"]), _greatest), lambda tops: apart(a, tops)))
+    clean = let(merged, lambda a: let(parts, lambda blocks: rebuilt(a, blocks)))
+    return j.select("row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean).alias("clean_text"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
