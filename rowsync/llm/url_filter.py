@@ -2,7 +2,8 @@
 
 Urls that a rule decides are the labelled outcomes (block is bad, allow is good), or a table of outcomes is given. Bad
 rates shrink level by level through beta-binomial priors: all urls to public suffix, suffix to registered domain,
-domain to host. A url without a rule is blocked where the lower posterior bound of its host's bad rate exceeds the
+domain to host. How much a prior is worth at a level is estimated from the outcomes, by the moments of the rates around
+their priors. A url without a rule is blocked where the lower posterior bound of its host's bad rate exceeds the
 limit. Everything is DataFrame functions.
 """
 
@@ -15,8 +16,10 @@ from .common import lower_ascii, skew_lookup, stored, table
 
 #: (verdict, host, path prefix); the longest fitting rule wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Pseudo-observations that a level's prior is worth to the level below.
-STRENGTH = 20.0
+#: Pseudo-observations that a level's prior is worth to the level below: where labels don't tell, least and most.
+STRENGTH, LEAST_STRENGTH, MOST_STRENGTH = 20.0, 1.0, 1000.0
+#: Labels that make a public suffix together with a country's two letters, such as co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Standard deviations below the posterior mean, and the bad rate that the bound must exceed.
 BOUND_Z, BAD_LIMIT = 1.0, 0.5
 
@@ -40,11 +43,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last one."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """(registered domain, public suffix): the suffix is the last label, or two such as co.uk; the domain has one more."""
+    two = F.substring_index(host, ".", -2)
+    double = two.rlike(rf"^({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    return F.when(double, F.substring_index(host, ".", -3)).otherwise(two), F.when(double, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def reputation(counts: DataFrame, strength: float = STRENGTH, z: float = BOUND_Z) -> DataFrame:
+def strength(groups: DataFrame, n: str, bad: str, prior: Column) -> float:
+    """Pseudo-observations that the priors of ``groups`` are worth, by moments of the beta-binomial.
+
+    A group with ``n`` outcomes and prior p has E[n (rate - p)^2] = p (1 - p) (1 + (n - 1) r), and r = 1 / (strength + 1).
+    """
+    g = groups.where(F.col(n) > 0).select(F.col(n).cast("double").alias("n"), (F.col(bad) / F.col(n)).alias("rate"), prior.alias("p"))
+    spread = F.col("p") * (1 - F.col("p"))
+    seen, noise, weight = g.agg(F.sum(F.col("n") * (F.col("rate") - F.col("p")) * (F.col("rate") - F.col("p"))), F.sum(spread), F.sum((F.col("n") - 1) * spread)).first()  # one row
+    if not weight:
+        return STRENGTH
+    r = (seen - noise) / weight
+    return MOST_STRENGTH if r <= 1 / (MOST_STRENGTH + 1) else max(LEAST_STRENGTH, 1 / r - 1)
+
+
+def reputation(counts: DataFrame, z: float = BOUND_Z) -> DataFrame:
     """``counts(host, n, labelled, bad)`` to (host, n, bound): the lower posterior bound of each host's bad rate."""
     domain, suffix = levels(F.col("host"))
     h = counts.withColumn("domain", domain).withColumn("suffix", suffix)
@@ -52,14 +71,18 @@ def reputation(counts: DataFrame, strength: float = STRENGTH, z: float = BOUND_Z
     s = d.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad"))
     bad, n = s.agg(F.sum("s_bad"), F.sum("s_n")).first()  # one row
     p_a = F.lit(((bad or 0) + 1.0) / ((n or 0) + 2.0))
-    rate = lambda bad, n, prior: (F.col(bad) + F.lit(strength) * prior) / (F.col(n) + F.lit(strength))
-    s = s.select(F.col("suffix").alias("s_key"), rate("s_bad", "s_n", p_a).alias("p_s"))
-    d = d.join(s, F.col("suffix") == F.col("s_key")).select(F.col("suffix").alias("d_suffix"), F.col("domain").alias("d_key"), rate("d_bad", "d_n", F.col("p_s")).alias("p_d"))
-    a = F.col("bad") + F.lit(strength) * F.col("p_d")
-    t = F.col("labelled") + F.lit(strength)
+    rate = lambda bad, n, prior, worth: (F.col(bad) + F.lit(worth) * prior) / (F.col(n) + F.lit(worth))
+    s = s.select(F.col("suffix").alias("s_key"), rate("s_bad", "s_n", p_a, strength(s, "s_n", "s_bad", p_a)).alias("p_s"))
+    d = d.join(s, F.col("suffix") == F.col("s_key"))
+    p_d = rate("d_bad", "d_n", F.col("p_s"), strength(d, "d_n", "d_bad", F.col("p_s")))
+    d = d.select(F.col("suffix").alias("d_suffix"), F.col("domain").alias("d_key"), p_d.alias("p_d"))
+    h = h.join(d, (F.col("suffix") == F.col("d_suffix")) & (F.col("domain") == F.col("d_key")))
+    worth = F.lit(strength(h, "labelled", "bad", F.col("p_d")))
+    a = F.col("bad") + worth * F.col("p_d")
+    t = F.col("labelled") + worth
     mean = a / t
     bound = mean - F.lit(z) * F.sqrt(mean * (1.0 - mean) / (t + 1.0))
-    return h.join(d, (F.col("suffix") == F.col("d_suffix")) & (F.col("domain") == F.col("d_key"))).select("host", "n", bound.alias("bound"))
+    return h.select("host", "n", bound.alias("bound"))
 
 
 def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = BAD_LIMIT, outcomes: DataFrame | None = None) -> DataFrame:
@@ -103,17 +126,28 @@ WITH u AS (
 ), v AS (
   SELECT *, CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block'
                       WHEN 'example.org/en/1' THEN 'block' WHEN 'com/de/' THEN 'block' END AS ruled,
-         split_part(host, '.', -1) AS suffix,
-         CASE WHEN instr(host, '.') > 0 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain FROM r
-), h AS (SELECT host, domain, suffix, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad FROM v GROUP BY ALL),
+         regexp_matches(two, '^(ac|co|com|edu|gov|net|org)[.][a-z][a-z]$') AS twofold
+  FROM (SELECT *, CASE WHEN instr(host, '.') > 0 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS two FROM r)
+), w AS (
+  SELECT *, CASE WHEN twofold THEN two ELSE split_part(host, '.', -1) END AS suffix,
+         CASE WHEN twofold AND len(string_split(host, '.')) > 2 THEN split_part(host, '.', -3) || '.' || two ELSE two END AS domain FROM v
+), h AS (SELECT host, domain, suffix, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad FROM w GROUP BY ALL),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 a AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS p FROM s),
-ps AS (SELECT suffix, (bad + 20.0::DOUBLE * p) / (n + 20.0::DOUBLE) AS p FROM s, a),
-pd AS (SELECT d.suffix, d.domain, (d.bad + 20.0::DOUBLE * ps.p) / (d.n + 20.0::DOUBLE) AS p FROM d JOIN ps ON d.suffix = ps.suffix),
-ph AS (SELECT h.host, (h.bad + 20.0::DOUBLE * pd.p) / (h.n + 20.0::DOUBLE) AS m, h.n + 20.0::DOUBLE AS t
-       FROM h JOIN pd ON h.suffix = pd.suffix AND h.domain = pd.domain)
-SELECT v.page_id, v.host, v.path, v.rule,
-       coalesce(v.ruled, CASE WHEN ph.m - 1.0::DOUBLE * sqrt(ph.m * (1.0::DOUBLE - ph.m) / (ph.t + 1.0::DOUBLE)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM v JOIN ph ON v.host = ph.host
+gs AS (SELECT suffix, n, bad, a.p AS p FROM s, a),
+ms AS (SELECT CASE WHEN coalesce(weight, 0) = 0 THEN 20.0::DOUBLE WHEN (seen - noise) / weight <= 1 / 1001.0::DOUBLE THEN 1000.0::DOUBLE ELSE greatest(1.0::DOUBLE, weight / (seen - noise) - 1) END AS m
+  FROM (SELECT sum(n * (bad / n::DOUBLE - p) ** 2) AS seen, sum(p * (1 - p)) AS noise, sum((n - 1) * p * (1 - p)) AS weight FROM gs WHERE n > 0)),
+ps AS (SELECT suffix, (bad + m * p) / (n + m) AS p FROM gs, ms),
+gd AS (SELECT d.suffix, domain, n, bad, ps.p AS p FROM d JOIN ps ON d.suffix = ps.suffix),
+md AS (SELECT CASE WHEN coalesce(weight, 0) = 0 THEN 20.0::DOUBLE WHEN (seen - noise) / weight <= 1 / 1001.0::DOUBLE THEN 1000.0::DOUBLE ELSE greatest(1.0::DOUBLE, weight / (seen - noise) - 1) END AS m
+  FROM (SELECT sum(n * (bad / n::DOUBLE - p) ** 2) AS seen, sum(p * (1 - p)) AS noise, sum((n - 1) * p * (1 - p)) AS weight FROM gd WHERE n > 0)),
+pd AS (SELECT suffix, domain, (bad + m * p) / (n + m) AS p FROM gd, md),
+gh AS (SELECT host, n, bad, pd.p AS p FROM h JOIN pd ON h.suffix = pd.suffix AND h.domain = pd.domain),
+mh AS (SELECT CASE WHEN coalesce(weight, 0) = 0 THEN 20.0::DOUBLE WHEN (seen - noise) / weight <= 1 / 1001.0::DOUBLE THEN 1000.0::DOUBLE ELSE greatest(1.0::DOUBLE, weight / (seen - noise) - 1) END AS m
+  FROM (SELECT sum(n * (bad / n::DOUBLE - p) ** 2) AS seen, sum(p * (1 - p)) AS noise, sum((n - 1) * p * (1 - p)) AS weight FROM gh WHERE n > 0)),
+ph AS (SELECT host, (bad + m * p) / (n + m) AS m, n + m AS t FROM gh, mh)
+SELECT w.page_id, w.host, w.path, w.rule,
+       coalesce(w.ruled, CASE WHEN ph.m - 1.0::DOUBLE * sqrt(ph.m * (1.0::DOUBLE - ph.m) / (ph.t + 1.0::DOUBLE)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM w JOIN ph ON w.host = ph.host
 """
