@@ -1,7 +1,8 @@
 """Quality rules: text counts, and perplexity bands of a character n-gram model with modified Kneser-Ney smoothing.
 
 N-grams are ORDER bytes (letters lower-cased, digits folded) inside words, between boundary marks. All n-grams of all
-words of all documents are counted and smoothed by Spark, so the model is a table that grows with the corpus. Keys that
+words of all documents that the counts pass are counted and smoothed by Spark, so the model is a table that grows with
+the corpus; what the counts reject would teach it that such text is usual. Keys that
 hold at least one in HEAVY of all n-grams, which are at most HEAVY, are sent to the executors as sorted arrays. A
 document's other n-grams are looked up by a join; no such key has more than its small share of rows.
 """
@@ -29,8 +30,9 @@ LANG_SHIFT = 8 * ORDER
 HEAVY = 1 << 20
 #: Minus log probabilities are whole multiples of 1 / UNIT, so sums don't depend on their order.
 UNIT = 1 << 20
-#: A language needs this share of all documents for a model and bands of its own; the others share those of "*".
-OWN_SHARE = 0.01
+#: A language needs so many documents for a model and bands of its own, whatever the table's size, for a median and a
+#: spread mean something only then; the others share those of "*".
+OWN_ROWS = 50
 #: The bands leave out this share of the good rows that they are set from, half of it on either side.
 GOOD_OUTSIDE = 0.01
 SYMBOL_SET = b"#*$%&|<>"
@@ -96,12 +98,37 @@ class Slice:
         return total, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(key, n) over all words of all documents; summed in each slice of a task, then by Spark. Language 0 is all together."""
+def _base(texts: pa.Array) -> dict:
+    """Numbers of words and of words in repeated windows, and whether they reject a text."""
+    n = len(texts)
+    doc, code, _ = words(texts)
+    covered = np.zeros(len(doc), bool)
+    if len(doc) >= 5:
+        h = np.zeros(len(doc) - 4, np.uint64)
+        for k in range(5):
+            h = (h ^ (code[k : len(doc) - 4 + k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        at = np.nonzero(doc[:-4] == doc[4:])[0]
+        h = (h[at] ^ doc[at].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(at), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        for k in range(5):
+            covered[at[twice] + k] = True
+    out = {"n_words": np.bincount(doc, minlength=n), "n_repeat_words": np.bincount(doc[covered], minlength=n)}
+    return out | {"base_failed": (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])}
+
+
+def _counted(docs: DataFrame, sound: bool = True) -> DataFrame:
+    """(key, n) over all words of the documents that the counts pass (all if not ``sound``); summed in each slice of a
+    task, then by Spark. Language 0 is all together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b, "text"):
+                if sound:
+                    s = s.filter(pa.array(~_base(s["text"])["base_failed"]))
                 g = Slice(s["text"], s["lang"].to_numpy(zero_copy_only=False).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(g.keys), pa.array(g.counts())], ["key", "n"])
 
@@ -162,29 +189,12 @@ def _measure(s: pa.RecordBatch, known: np.ndarray, costs: np.ndarray) -> dict:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     is_symbol = np.zeros(256, bool)
     is_symbol[list(SYMBOL_SET)] = True
-    doc, code, values = words(texts)
-    out = {"n_words": np.bincount(doc, minlength=n), "word_chars": total(((data & 0xC0) != 0x80) & ~space), "n_symbols": total(is_symbol[data])}
+    out = _base(texts) | {"word_chars": total(((data & 0xC0) != 0x80) & ~space), "n_symbols": total(is_symbol[data])}
     dup = []
     for k in range(n):
         kept = [x for x in data[offsets[k] : offsets[k + 1]].tobytes().split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
         dup.append(len(kept) - len(set(kept)))
     out["n_dup_lines"] = np.array(dup, np.int64)
-    covered = np.zeros(len(doc), bool)
-    if len(doc) >= 5:
-        h = np.zeros(len(doc) - 4, np.uint64)
-        for k in range(5):
-            h = (h ^ (code[k : len(doc) - 4 + k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        at = np.nonzero(doc[:-4] == doc[4:])[0]
-        h = (h[at] ^ doc[at].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        for k in range(5):
-            covered[at[twice] + k] = True
-    out["n_repeat_words"] = np.bincount(doc[covered], minlength=n)
-    out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
     g = Slice(texts, s["lang"].to_numpy(zero_copy_only=False).astype(np.int64))
     out["n_grams"] = g.per_doc(g.lengths)
     out["cost"], out["other"] = g.cost(known, costs)
@@ -215,11 +225,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("*")).alias("lang"))
-    sizes = docs.groupBy("lang").count()
-    total = docs.count()
-    own = sorted(r["lang"] for r in sizes.where(F.col("count") >= OWN_SHARE * total).collect() if r["lang"] != "*")  # 100 at most
-    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("*")) if own else F.lit("*"))
-    docs = docs.withColumn("lang", F.coalesce(F.array_position(F.array(*map(F.lit, own)), F.col("model")), F.lit(0)).cast("long") if own else F.lit(0).cast("long"))
+    own = sorted(r["lang"] for r in docs.groupBy("lang").count().where(F.col("count") >= OWN_ROWS).collect() if r["lang"] != "*")  # a row for each language
+    numbers = spark.createDataFrame(list(zip(own, range(1, len(own) + 1), strict=True)), "model string, number long")
+    docs = docs.join(F.broadcast(numbers), F.col("lang") == F.col("model"), "left").select("doc_id", "text", F.coalesce("number", F.lit(0)).alias("lang"), F.coalesce("model", F.lit("*")).alias("model"))
     model = stored(kneser_ney(_counted(docs.select("text", "lang"))), "model")
     n_all = model.agg(F.sum("n")).first()[0] or 0
     heavy = F.col("n") * HEAVY >= F.lit(n_all)
