@@ -19,5 +19,22 @@ def test_stages(spark):
     assert set(pieces["doc_id"]) == set(left)
 
 
+def test_rows_go_by_themselves_not_by_their_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good, other = "the cat and the dog with the house of that man over there by the river " * 3, "another thing entirely that was said about some old stones and their makers " * 3
+    rows = [(k, f"{good} {k} {k * 77}", "en", "s", 1) for k in range(3, 40)] + [(1, None, None, None, None), (1, other, "en", "s", 1), (None, None, None, None, None), (2, other + " x", "en", "s", 1), (2, other + " x", "en", "s", 1)]
+    df = spark.createDataFrame(rows, schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.identify_language(spark, df, "").collect()]
+    assert (1, other) in kept and (1, None) not in kept and (None, None) not in kept and kept.count((2, other + " x")) == 2
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert left.count((2, other + " x")) == 0 and left.count((1, other)) == 1 and left.count((1, None)) == 1
+
+
+def test_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
