@@ -26,6 +26,8 @@ from .components import components
 SEED, TILE = 42, 512
 #: Blocks per side while a block stays under MAX_BLOCK fingerprints (8 bytes each).
 GRID, MAX_BLOCK = 24, 4_000_000
+#: Pairs within the first radius that are looked at over all words at once.
+PAIRS = 1 << 14
 #: Shingles hashed at once.
 SLICE = 1 << 15
 #: For near copies, five-word shingles and a similarity of 0.8: words of a fingerprint, differing bits of the first and of
@@ -125,17 +127,21 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int, total_radius: int |
     rank_a, rank_b, labels = rank[: len(a)], rank if same else rank[len(a) :], np.arange(len(values))
     for s in range(len(lo_a)):
         gap = np.maximum(0, np.maximum(lo_b - hi_a[s], lo_a[s] - hi_b)).sum(1)
-        x = first_a[s * TILE : (s + 1) * TILE, None]
+        own = first_a[s * TILE : (s + 1) * TILE, None]
         for t in np.nonzero(gap <= radius)[0]:
             if same and t < s:
                 continue
-            i, j = np.nonzero(np.bitwise_count(x ^ first_b[None, t * TILE : (t + 1) * TILE]) <= radius)
+            i, j = np.nonzero(np.bitwise_count(own ^ first_b[None, t * TILE : (t + 1) * TILE]) <= radius)
             i, j = s * TILE + i, t * TILE + j
-            if total_radius is not None and i.size:
-                near = np.bitwise_count(a[i] ^ b[j]).sum(1) <= total_radius
-                i, j = i[near], j[near]
-            if i.size:
-                merge(labels, rank_a[i], rank_b[j])
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                if total_radius is not None:
+                    # pairs that are already one group need no second look
+                    apart = labels[rank_a[x]] != labels[rank_b[y]]
+                    x, y = x[apart], y[apart]
+                    near = np.bitwise_count(a[x] ^ b[y]).sum(1) <= total_radius
+                    x, y = x[near], y[near]
+                merge(labels, rank_a[x], rank_b[y])
     ordered = values.view(np.int64)[order]
     off = np.nonzero(labels != np.arange(len(labels)))[0]
     return ordered[off], ordered[labels[off]]

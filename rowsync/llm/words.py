@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +14,27 @@ import pyarrow.compute as pc
 SLICE_BYTES = 3 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE_BYTES of text each; one row at least."""
+@lru_cache(1)
+def _trim():
+    """The C library's way to return free memory to the system; nothing where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system: Python workers wait for tasks, and others need it then."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each; one row at least. Free memory goes back at the end."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
     at = 0
     while at < len(sizes):
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, side="right")))
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), size, side="right")))
         yield batch.slice(at, n)
         at += n
+    give_back()
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
