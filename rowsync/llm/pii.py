@@ -238,7 +238,12 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return j.select("row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean).alias("clean_text"))
 
 
+def _count(spans: Column, k: int) -> Column:
+    """How many spans are of kind ``k``. ``k`` is bound here: a lambda's second parameter, default or not, is the place in the array."""
+    return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [_count(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(as_string(F.col("base")), 256).alias("base_sha256"), as_string(F.col("spans")).alias("spans"))

@@ -288,6 +288,20 @@ def test_pii(spark, docs, none):
     assert pii.personal_data(docs).count() == len(ROWS) and pii.personal_data(none).count() == 0
 
 
+def test_pii_query_against_brute_force(spark, tmp_path):
+    """The query's own columns: several spans of a kind, kinds in any number, repeated rows, null ids and texts."""
+    mail, ip, card, phone = "a@b.co ", "1.2.3.4 ", "x 4111 1111 1111 1111 x ", "+49 30 12345678 x "
+    rng = random.Random(61)
+    texts = [None, "", "x", mail, ip, card, phone, mail * 5, ip * 5, card * 5, phone * 5, mail + ip * 2 + card * 3 + phone * 4, phone + card * 2 + ip * 3 + mail * 4]
+    texts += ["".join(rng.choice([mail, ip, card, phone, "é ", "😀", "\n"]) for _ in range(rng.randint(0, 300))) for _ in range(40)]
+    rows = [*enumerate(texts), (11, texts[11]), (None, texts[12]), (-1, texts[12])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.op6_pii(spark, str(tmp_path)).collect())
+    bases = [(i, brute_base(t or "")) for i, t in rows]
+    want = Counter((i, *[sum(x.startswith(f"{kind}:") for x in b) for kind in BASE], hashlib.sha256(",".join(b).encode()).hexdigest()) for i, b in bases)
+    assert got == want
+
+
 def test_pii_of_long_log_text_takes_seconds(spark):
     import time
 
